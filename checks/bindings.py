@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from findrift import session
 from findrift.operators.index import Index, build_index
+from findrift.operators.requests import normalize_limits, normalize_requests
 
 AS_OF = dt.date(2001, 12, 31)
 
@@ -111,3 +112,129 @@ def index(spark: SparkSession, sf: str) -> Index:
     if key not in _built:
         _built[key] = build_index(catalog(spark, sf), session.workspace(spark, "index"))
     return _built[key]
+
+
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize_requests(raw_requests(spark, sf))
+
+
+def keyword_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, query) of the requests that are not blank."""
+    return requests(spark, sf).where(F.trim("query") != "").select("query_id", "query")
+
+
+def raw_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """One similarity request per `benchmark` row; some ask for an unknown document."""
+    i = F.col("item_id")
+    return table(spark, sf, "benchmark").select(
+        i.alias("query_id"), (i * 26).alias("anchor"),
+        F.when(i % 4 == 0, "50").when(i % 4 == 1, "0").when(i % 4 == 2, "x").alias("limit"),
+    )
+
+
+def similar_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize_limits(raw_limits(spark, sf))
+
+
+def id_export(spark: SparkSession, sf: str) -> DataFrame:
+    """`part` as an id export; some ids have no popularity above zero."""
+    price = F.when(F.col("p_partkey") % 11 == 0, 0.0).otherwise(F.col("p_retailprice"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), price.alias("popularity"))
+
+
+def write_exports(spark: SparkSession, sf: str) -> str:
+    """Three daily exports of all ids, of which the newest is two days old."""
+    root = session.workspace(spark, "exports")
+    for age in (2, 5, 9):
+        day = AS_OF - dt.timedelta(days=age)
+        id_export(spark, sf).withColumn("popularity", F.col("popularity") * age).coalesce(1).write.option(
+            "compression", "gzip"
+        ).json(f"{root}/dt={day}")
+    return root
+
+
+def raw_details(spark: SparkSession, sf: str) -> DataFrame:
+    """(value): the catalogue as raw JSON records, some of them errors or malformed."""
+    docs = catalog(spark, sf)
+    w = F.split("overview", r"\s+")
+    named = lambda xs: F.transform(xs, lambda g: F.struct(g.alias("name")))
+    member = F.transform(
+        F.sequence(F.lit(0), F.lit(11)),
+        lambda k: F.struct(
+            F.array_join(F.slice(w, k * 2 + 1, F.lit(2)), " ").alias("name"),
+            F.when(k % 3 != 0, F.concat(F.lit("role "), k.cast("string"))).alias("character"),
+            k.cast("bigint").alias("order"),
+        ),
+    )
+    crew = F.concat(
+        F.array(F.struct(F.lit("first writer").alias("name"), F.lit("Writer").alias("job"))),
+        F.when(
+            F.col("id") % 7 != 0,
+            F.array(
+                F.struct(F.col("director").alias("name"), F.lit("Director").alias("job")),
+                F.struct(F.lit("second unit").alias("name"), F.lit("Director").alias("job")),
+            ),
+        ).otherwise(F.array().cast("array<struct<name:string,job:string>>")),
+    )
+    record = F.to_json(
+        F.struct(
+            "id", "title", "overview", "release_date", "vote_average", "vote_count", "popularity",
+            named(F.col("genres")).alias("genres"), "runtime", "original_language", "tagline",
+            F.struct(named(F.col("keywords")).alias("keywords")).alias("keywords"),
+            F.struct(member.alias("cast"), crew.alias("crew")).alias("credits"),
+            F.when(F.col("id") % 29 == 0, 34).alias("status_code"),
+        )
+    )
+    broken = F.replace(record, F.lit('"genres":['), F.lit('"genres":7,"others":['))
+    return docs.select(F.when(F.col("id") % 31 == 0, broken).otherwise(record).alias("value"))
+
+
+def write_details(spark: SparkSession, sf: str) -> str:
+    path = session.workspace(spark, "details")
+    raw_details(spark, sf).write.text(path)
+    return path
+
+
+def delta(spark: SparkSession, sf: str) -> DataFrame:
+    """Two new versions of every labelled document, and a new one per benchmark item."""
+    labelled = (
+        catalog(spark, sf)
+        .join(table(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+        .select("id", "title", "director")
+    )
+    fresh = table(spark, sf, "benchmark").select(
+        (F.col("item_id") + 1_000_000_000).alias("id"), F.col("text").alias("title"),
+        F.lit("new").alias("director"),
+    )
+    version = F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")
+    return labelled.unionByName(fresh).select("*", version).select(
+        "id", F.concat("title", F.lit(" v"), F.col("seq").cast("string")).alias("title"),
+        "director", "seq",
+    )
+
+
+def bulk_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """(value): one bulk response per hundred events; error events are failed items."""
+    failed = F.col("event_type") == "error"
+    error = F.when(failed, F.struct(F.lit("rejected").alias("type"), F.lit("queue full").alias("reason")))
+    item = F.struct(
+        F.struct(
+            F.when(failed, 429).otherwise(F.when(F.col("event_id") % 2 == 0, 201).otherwise(200)).alias("status"),
+            error.alias("error"),
+        ).alias("index")
+    )
+    batch = F.floor(F.col("event_id") / 100)  # a batch has at most 100 items
+    return table(spark, sf, "events").groupBy(batch.alias("batch")).agg(
+        F.max(failed).alias("errors"), F.collect_list(item).alias("items")
+    ).select(F.to_json(F.struct("errors", "items")).alias("value"))
+
+
+# Covers the spread of the log times of 100 workers, 30 days apart.
+LOG_SPREAD = "4000 days"
+
+
+def log_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """(worker, seq) per event."""
+    return table(spark, sf, "events").select(
+        (F.col("user_id") % 100).alias("worker"), F.col("event_id").alias("seq")
+    )

@@ -1,0 +1,32 @@
+"""Repeatable random draws: a function of a row key and a purpose."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def draw(key: Column, purpose: str, n: int) -> Column:
+    """A whole number in 0..n-1, the same on every run."""
+    text = F.concat(key.cast("string"), F.lit(f":{purpose}"))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(n))
+
+
+def between(key: Column, purpose: str, low: int, high: int) -> Column:
+    """A whole number in low..high."""
+    return F.lit(low) + draw(key, purpose, high - low + 1)
+
+
+def pick(key: Column, purpose: str, values) -> Column:
+    """One of the values, all equally likely."""
+    return F.get(F.array(*[F.lit(v) for v in values]), draw(key, purpose, len(values)).cast("int"))
+
+
+def weighted(key: Column, purpose: str, weights) -> Column:
+    """One of (value, percent) pairs; the percents add up to 100."""
+    d = draw(key, purpose, 100)
+    out, top = F.lit(weights[-1][0]), 100
+    for value, percent in reversed(weights):
+        out = F.when(d < top, F.lit(value)).otherwise(out)
+        top -= percent
+    return out

@@ -23,10 +23,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def words_with_possessive(text: Column) -> Column:
-    """Like `words`, but a trailing 's stays with its word so that it can be stripped."""
-    pat = WORD + r"(?:['’]s(?![\p{L}\p{N}]))?"
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pat), F.lit(0))
+def strip_possessive(text: Column) -> Column:
+    """Remove 's at the end of words."""
+    pat = r"([\p{L}\p{N}])['’][sS]($|[^\p{L}\p{N}])"
+    return F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(pat), F.lit("$1$2"))
 
 
 def edge_grams(word: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findrift import session
 from findrift.functions import text as T
+from findrift.functions.stemmer import with_stems
 
 # Position distance between two values of a multi-valued field, so that a
 # phrase cannot run from one value into the next.
@@ -128,3 +130,32 @@ def title_grams(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.posexplode(T.words(F.col("title"))).alias("pos", "word")).select(
         "id", "pos", "word", F.explode(T.edge_grams(F.col("word"))).alias("gram")
     )
+
+
+def _english_values(docs: DataFrame) -> DataFrame:
+    fields = [
+        F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))
+        for f in ("title", "tagline", "overview")
+    ]
+    return docs.select("id", F.explode(F.array(*fields)).alias("v")).select("id", "v.*")
+
+
+def content_tokens(docs: DataFrame) -> DataFrame:
+    """English words without possessive endings and stop words; gaps stay in `pos`."""
+    return (
+        _english_values(docs)
+        .select("id", "field", F.posexplode(T.words(T.strip_possessive(F.col("value")))).alias("pos", "term"))
+        .where(~F.col("term").isin(*T.STOP_WORDS))
+    )
+
+
+def english_tokens(docs: DataFrame) -> DataFrame:
+    """Stemmed content words: (id, field, pos, term, stem).
+
+    Only distinct words are stemmed; the stems are joined back.
+    """
+    words = content_tokens(docs)
+    stems = session.stash(with_stems(words.select("term").distinct()), "stems")
+    return session.join_spread(words, stems, ["term"], "id").select(
+        "id", "field", "pos", "term", "stem"
+    )

@@ -41,6 +41,12 @@ def index_docs(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("release_dt", lenient_date(F.col("release_date")))
 
 
+def by_id(catalog: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Lay rows by document id, before they unfold into terms."""
+    n = partitions or int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return catalog.repartition(n, "id")
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """(id, field, term, tf, dl, positions); needs no shuffle if `docs` lies by id."""
     return analysis.tokens(docs).groupBy("id", "field", "term").agg(

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from findrift import session
 from findrift.functions import scoring as S
 from findrift.functions import text as T
+from findrift.operators.analysis import EXACT
 from findrift.operators.fuzzy import MAX_EXPANSIONS, fuzzy_expand
 from findrift.operators.index import Index
 
@@ -61,6 +62,19 @@ def _coef(df: DataFrame, clause: int, slot, coef) -> DataFrame:
     )
 
 
+def fuzzy_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, field, qterm): words for analysed fields, the whole query for exact ones."""
+    exact = [f for f in S.BEST_FIELDS if f in EXACT]
+    analysed = [f for f in S.BEST_FIELDS if f not in EXACT]
+
+    def per_field(rows: DataFrame, fields: list[str]) -> DataFrame:
+        return rows.withColumn("field", F.explode(F.array(*[F.lit(f) for f in fields])))
+
+    words = query_terms(queries).select("query_id", F.col("term").alias("qterm"))
+    whole = queries.select("query_id", F.col("query").alias("qterm"))
+    return per_field(words, analysed).unionByName(per_field(whole, exact))
+
+
 def best_fields_coefs(
     index: Index, queries: DataFrame, max_expansions: int = MAX_EXPANSIONS
 ) -> DataFrame:
@@ -69,17 +83,8 @@ def best_fields_coefs(
     Exact fields take the whole query as one term. The expansions of a query
     term share one document frequency, that of the most frequent of them.
     """
-    analysed = [f for f in S.BEST_FIELDS if f not in ("title.keyword", "director")]
-    exact = ["title.keyword", "director"]
-
-    def per_field(rows: DataFrame, fields: list[str]) -> DataFrame:
-        return rows.withColumn("field", F.explode(F.array(*[F.lit(f) for f in fields])))
-
     wanted = session.stash(
-        per_field(query_terms(queries).select("query_id", F.col("term").alias("qterm")), analysed)
-        .unionByName(per_field(queries.select("query_id", F.col("query").alias("qterm")), exact))
-        .groupBy("query_id", "field", "qterm")
-        .agg(F.count(F.lit(1)).alias("times")),
+        fuzzy_terms(queries).groupBy("query_id", "field", "qterm").agg(F.count(F.lit(1)).alias("times")),
         "best-terms",
     )
     grown = session.stash(
@@ -158,21 +163,9 @@ def term_coefs(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def join_postings(index: Index, rows: DataFrame, *more: str) -> DataFrame:
-    """Postings of the (field, term) pairs in a stored table `rows`.
-
-    Within the row bound `rows` is broadcast and the postings stay in place.
-    Beyond it the join shuffles, and each pair is salted by document so that a
-    term found in most documents is not one task.
-    """
+    """Postings of the (field, term) pairs in a stored table `rows`."""
     post = index.postings.select("id", "field", "term", "tf", "dl", *more)
-    if session.is_bounded(rows):
-        return post.join(F.broadcast(rows), ["field", "term"])
-    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(session.SALT - 1).cast("bigint")))
-    return (
-        post.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(session.SALT)))
-        .join(rows.withColumn("salt", salts), ["field", "term", "salt"])
-        .drop("salt")
-    )
+    return session.join_spread(post, rows, ["field", "term"], "id")
 
 
 def clause_scores(index: Index, coefs: DataFrame) -> DataFrame:

@@ -1,0 +1,26 @@
+"""The log load: top up a log table to a target size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from findrift import schemas
+from findrift.operators import logs as L
+from findrift.sources import tables as TB
+
+
+def load_logs(
+    spark: SparkSession, path: str, target: int, workers: int = L.WORKERS,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Append the rows missing to `target` and return the stored table.
+
+    `partitions` of the key range are the write tasks; a failed task redoes
+    only its own range.
+    """
+    schema = schemas.LOG + ", dt DATE"
+    current = TB.stored_or_empty(spark, path, schema).count()
+    missing = max(0, target - current)
+    if missing:
+        TB.append_by_day(L.log_table(L.log_keys(spark, missing, workers, partitions)), path)
+    return TB.stored_or_empty(spark, path, schema)

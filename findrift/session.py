@@ -73,3 +73,20 @@ def is_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a stored table for broadcast if it is within the bound, else leave it."""
     return F.broadcast(df) if is_bounded(df, rows) else df
+
+
+def join_spread(big: DataFrame, rows: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """Join a large table with a stored smaller one on skewed keys.
+
+    Within the row bound `rows` is broadcast and `big` stays in place. Beyond
+    it the join shuffles with each key salted by `spread`, a column of `big`,
+    so that a key found in a third of the rows is not one task.
+    """
+    if is_bounded(rows):
+        return big.join(F.broadcast(rows), keys)
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint")))
+    return (
+        big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALT)))
+        .join(rows.withColumn("_salt", salts), [*keys, "_salt"])
+        .drop("_salt")
+    )
