@@ -534,7 +534,7 @@ FINAL: dict[str, str] = {
     ),
     "facet_genres": (
         "select query_id, genre, count(*) doc_count from "
-        "(select distinct query_id, id, unnest(doc_genres) genre from matched) group by all "
+        "(select distinct query_id, id, unnest(doc_genres) genre from matched) group by query_id, genre "
         "qualify row_number() over (partition by query_id order by count(*) desc, genre) <= 30"
     ),
     "genres_overview": (
@@ -562,7 +562,7 @@ FINAL: dict[str, str] = {
         "select id, popularity from export where popularity > 0 order by popularity desc, id limit 100000"
     ),
     "detail_scan": (
-        "select id, title, case when malformed then -1 else len(genres) end n_genres, 12 n_cast, "
+        "select id, title, case when not malformed then len(genres) end n_genres, 12 n_cast, "
         "case when id % 7 = 0 then 1 else 3 end n_crew, case when error then 34 end status_code, malformed from det"
     ),
     "normalize_detail": (

@@ -12,13 +12,15 @@ DIRECTOR = "Director"
 
 
 def detail_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Typed raw records; a record of another shape keeps its text in `_corrupt_record`."""
-    return (
-        spark.read.schema(schemas.DETAIL + ", _corrupt_record STRING")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-    )
+    """Typed raw records; a record of another shape keeps its text in `_corrupt_record`.
+
+    Lines are parsed with explicit options, which keeps the whole schema in the
+    parse. A pruned read would judge a record by the selected columns only, so
+    the same record could be fine in one query and malformed in the next.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    record = F.from_json("value", schemas.DETAIL + ", _corrupt_record STRING", options)
+    return spark.read.text(path).select(record.alias("r")).select("r.*")
 
 
 def _reason() -> Column:
