@@ -94,9 +94,10 @@ def build_index(catalog: DataFrame, path: str, buckets: int | None = None) -> In
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = _bucketed(index_docs(catalog), f"{path}/docs", n, "id")
     post = _bucketed(postings(docs), f"{path}/postings", n, "field", "term")
-    vocab(post).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(
-        f"{path}/vocab"
-    )
+    # a fixed number of files, so that reading it back is as parallel as the postings
+    vocab(post).repartitionByRange(n, "field", "term").sortWithinPartitions(
+        "field", "term"
+    ).write.parquet(f"{path}/vocab")
     field_stats(post).coalesce(1).write.parquet(f"{path}/field_stats")
     return Index(
         path, n, docs, post,

@@ -12,15 +12,16 @@ join with the broadcast coefficients and the aggregations need no shuffle.
 
 from __future__ import annotations
 
+import dataclasses
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findrift import session
 from findrift.functions import scoring as S
 from findrift.functions import text as T
-from findrift.operators.analysis import EXACT
+from findrift.operators.analysis import ANALYSED, EXACT
 from findrift.operators.fuzzy import MAX_EXPANSIONS, fuzzy_expand
 from findrift.operators.index import Index
 
@@ -35,29 +36,46 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(T.words(F.col("query"))).alias("i", "term"))
 
 
-def _fields(index: Index, boosts: dict[str, float]) -> DataFrame:
-    """Statistics and boost of the named fields; one row per field."""
-    return F.broadcast(
-        index.field_stats.withColumn("boost", S.boost_of(F.col("field"), boosts)).where(
-            F.col("boost").isNotNull()
-        )
+@dataclasses.dataclass(frozen=True)
+class Asked:
+    """A table of queries and what the vocabulary knows about its strings.
+
+    `queries` is (query_id, query); `lexicon` is (field, term, df, n_docs,
+    avg_len) for every word, whole query and lower-cased query. Both are stored.
+    """
+
+    index: Index
+    queries: DataFrame
+    lexicon: DataFrame
+
+    @property
+    def words(self) -> DataFrame:
+        return query_terms(self.queries)
+
+
+def ask(index: Index, queries: DataFrame) -> Asked:
+    """Look up all strings of the queries in one pass over the vocabulary."""
+    queries = session.stash(queries.select("query_id", "query"), "queries")
+    strings = F.concat(
+        T.words(F.col("query")), F.array(F.col("query"), F.lower("query"))
+    )
+    distinct = session.stash(queries.select(F.explode(strings).alias("term")).distinct(), "strings")
+    lexicon = index.vocab.join(session.small(distinct), "term").join(
+        F.broadcast(index.field_stats), "field"
     )
+    return Asked(index, queries, session.stash(lexicon, "lexicon"))
 
 
-def _known(index: Index, terms: DataFrame, boosts: dict[str, float]) -> DataFrame:
-    """Query terms that occur in one of the fields, with df, n_docs, avg_len, boost."""
-    terms = session.small(session.stash(terms, "terms"))
-    return (
-        index.vocab.where(F.col("field").isin(*boosts))
-        .join(terms, "term")
-        .join(_fields(index, boosts), "field")
+def _known(asked: Asked, boosts: dict[str, float]) -> DataFrame:
+    """Lexicon rows of the named fields, with their boost."""
+    return asked.lexicon.withColumn("boost", S.boost_of(F.col("field"), boosts)).where(
+        F.col("boost").isNotNull()
     )
 
 
-def _coef(df: DataFrame, clause: int, slot, coef) -> DataFrame:
+def _coef(df: DataFrame, clause: int, slot: Column, coef: Column) -> DataFrame:
     return df.select(
-        "query_id", F.lit(clause).alias("clause"), F.lit(slot).cast("int").alias("slot")
-        if isinstance(slot, int) else slot.cast("int").alias("slot"),
+        "query_id", F.lit(clause).alias("clause"), slot.cast("int").alias("slot"),
         "field", "term", coef.alias("coef"), "avg_len",
     )
 
@@ -75,25 +93,23 @@ def fuzzy_terms(queries: DataFrame) -> DataFrame:
     return per_field(words, analysed).unionByName(per_field(whole, exact))
 
 
-def best_fields_coefs(
-    index: Index, queries: DataFrame, max_expansions: int = MAX_EXPANSIONS
-) -> DataFrame:
+def best_fields_coefs(asked: Asked, max_expansions: int = MAX_EXPANSIONS) -> DataFrame:
     """Fuzzy terms of six boosted fields; slot = field, so slots are summed then maxed.
 
     Exact fields take the whole query as one term. The expansions of a query
     term share one document frequency, that of the most frequent of them.
     """
-    wanted = session.stash(
-        fuzzy_terms(queries).groupBy("query_id", "field", "qterm").agg(F.count(F.lit(1)).alias("times")),
-        "best-terms",
+    wanted = (
+        fuzzy_terms(asked.queries)
+        .groupBy("query_id", "field", "qterm")
+        .agg(F.count(F.lit(1)).alias("times"))
     )
     grown = session.stash(
-        fuzzy_expand(index, wanted.select("field", "qterm"), max_expansions), "expansions"
+        fuzzy_expand(asked.index, wanted.select("field", "qterm"), max_expansions), "expansions"
     )
     group = grown.groupBy("field", "qterm").agg(F.max("df").alias("group_df"))
-    slots = {f: i for i, f in enumerate(S.BEST_FIELDS)}
     weight = (
-        F.col("boost")
+        S.boost_of(F.col("field"), S.BEST_FIELDS)
         * S.scale_factor(F.col("avg_len"))
         * S.idf(F.col("n_docs"), F.col("group_df"))
         * F.col("times")
@@ -102,29 +118,28 @@ def best_fields_coefs(
     rows = (
         grown.join(group, ["field", "qterm"])
         .join(wanted, ["field", "qterm"])
-        .join(_fields(index, S.BEST_FIELDS), "field")
+        .join(F.broadcast(asked.index.field_stats), "field")
         .groupBy("query_id", "field", "term", "avg_len")
         .agg(F.sum(weight).alias("c"))
     )
-    slot = S.boost_of(F.col("field"), slots)
+    slot = S.boost_of(F.col("field"), {f: i for i, f in enumerate(S.BEST_FIELDS)})
     return _coef(rows, BEST, slot, F.col("c"))
 
 
-def cross_fields_coefs(index: Index, queries: DataFrame) -> DataFrame:
+def cross_fields_coefs(asked: Asked) -> DataFrame:
     """Term-centric match; slot = query term, so slots are maxed then summed.
 
-    The analysed fields share one document frequency per term, the largest.
-    The director is exact and forms a group of its own.
+    The analysed fields share one document frequency per term, the largest, and
+    one document count. The director is exact and forms a group of its own.
     """
-    terms = query_terms(queries).groupBy("query_id", "term").agg(
+    terms = asked.words.groupBy("query_id", "term").agg(
         F.min("i").alias("slot"), F.count(F.lit(1)).alias("times")
     )
-    known = session.stash(_known(index, terms, S.CROSS_FIELDS), "cross-terms")
+    known = _known(asked, S.CROSS_FIELDS)
     blended = known.groupBy("term").agg(F.max("df").alias("group_df"))
-    group_docs = F.broadcast(
-        index.field_stats.where(F.col("field").isin(*S.CROSS_FIELDS)).agg(
-            F.max("n_docs").alias("group_docs")
-        ).withColumn("one", F.lit(1))
+    group_docs = (
+        asked.index.field_stats.where(F.col("field").isin(*S.CROSS_FIELDS))
+        .agg(F.max("n_docs").alias("group_docs"), F.lit(1).alias("one"))
     )
     weight = (
         F.col("boost")
@@ -132,32 +147,30 @@ def cross_fields_coefs(index: Index, queries: DataFrame) -> DataFrame:
         * S.idf(F.col("group_docs"), F.col("group_df"))
         * F.col("times")
     )
-    group = known.join(blended, "term").withColumn("one", F.lit(1)).join(group_docs, "one")
-    director = _known(
-        index,
-        queries.select("query_id", F.col("query").alias("term")),
-        {"director": S.CROSS_DIRECTOR},
+    group = (
+        terms.join(known, "term")
+        .join(blended, "term")
+        .withColumn("one", F.lit(1))
+        .join(F.broadcast(group_docs), "one")
+    )
+    director = asked.queries.withColumnRenamed("query", "term").join(
+        _known(asked, {"director": S.CROSS_DIRECTOR}), "term"
     )
+    exact = F.col("boost") * S.idf(F.col("n_docs"), F.col("df"))
     return _coef(group, CROSS, F.col("slot"), weight).unionByName(
-        _coef(
-            director, CROSS_EXACT, 0, F.col("boost") * S.idf(F.col("n_docs"), F.col("df"))
-        )
+        _coef(director, CROSS_EXACT, F.lit(0), exact)
     )
 
 
-def term_coefs(index: Index, queries: DataFrame) -> DataFrame:
+def term_coefs(asked: Asked) -> DataFrame:
     """Whole query equal to a genre, or lower-cased equal to a keyword."""
     boosts = {"genres": S.GENRE_TERM, "keywords": S.KEYWORD_TERM}
-    wanted = queries.select(
-        "query_id",
-        F.explode(
-            F.array(
-                F.struct(F.lit("genres").alias("wanted"), F.col("query").alias("term")),
-                F.struct(F.lit("keywords").alias("wanted"), F.lower("query").alias("term")),
-            )
-        ).alias("w"),
-    ).select("query_id", "w.*")
-    known = _known(index, wanted, boosts).where(F.col("wanted") == F.col("field"))
+    both = F.array(
+        F.struct(F.lit("genres").alias("field"), F.col("query").alias("term")),
+        F.struct(F.lit("keywords").alias("field"), F.lower("query").alias("term")),
+    )
+    wanted = asked.queries.select("query_id", F.explode(both).alias("w")).select("query_id", "w.*")
+    known = wanted.join(_known(asked, boosts), ["field", "term"])
     slot = S.boost_of(F.col("field"), {f: i for i, f in enumerate(boosts)})
     return _coef(known, TERM, slot, F.col("boost") * S.idf(F.col("n_docs"), F.col("df")))
 
@@ -200,10 +213,10 @@ def clause_scores(index: Index, coefs: DataFrame) -> DataFrame:
 
 def bm25_match(index: Index, queries: DataFrame) -> DataFrame:
     """Relevance per analysed field: (query_id, field, id, score)."""
-    boosts = {f: 1.0 for f in ("title", "tagline", "overview", "cast.name")}
-    terms = query_terms(queries).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = ask(index, queries)
+    terms = asked.words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     weight = F.col("times") * S.scale_factor(F.col("avg_len")) * S.idf(F.col("n_docs"), F.col("df"))
-    rows = _known(index, terms, boosts).select(
+    rows = terms.join(_known(asked, dict.fromkeys(ANALYSED, 1.0)), "term").select(
         "query_id", "field", "term", weight.alias("coef"), "avg_len"
     )
     part = F.col("coef") * S.saturation(F.col("tf"), F.col("dl"), F.col("avg_len"))
@@ -215,33 +228,41 @@ def bm25_match(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def _only(index: Index, coefs: DataFrame, column: str) -> DataFrame:
-    return clause_scores(index, coefs).select("query_id", "id", F.col(column).alias("score"))
+    return (
+        clause_scores(index, coefs)
+        .select("query_id", "id", F.col(column).alias("score"))
+        .where(F.col("score").isNotNull())
+    )
 
 
-def best_fields(index: Index, queries: DataFrame) -> DataFrame:
-    return _only(index, best_fields_coefs(index, queries), "best")
+def best_fields(
+    index: Index, queries: DataFrame, max_expansions: int = MAX_EXPANSIONS
+) -> DataFrame:
+    return _only(index, best_fields_coefs(ask(index, queries), max_expansions), "best")
 
 
 def cross_fields(index: Index, queries: DataFrame) -> DataFrame:
-    return _only(index, cross_fields_coefs(index, queries), "cross")
+    return _only(index, cross_fields_coefs(ask(index, queries)), "cross")
 
 
 def term_match(index: Index, queries: DataFrame) -> DataFrame:
-    return _only(index, term_coefs(index, queries), "term")
+    return _only(index, term_coefs(ask(index, queries)), "term")
 
 
-def phrase_occurrences(
-    index: Index, queries: DataFrame, boosts: dict[str, float], slop: int = 0
-) -> DataFrame:
-    """(query_id, field, id, freq, score) of the queries' phrases.
+def phrase_occurrences(asked: Asked, clauses: dict[str, tuple[float, int]]) -> DataFrame:
+    """(query_id, field, id, freq, score) of the queries as phrases.
 
-    Documents that lack a word of the phrase are dropped before any position
-    is unfolded. With slop, an occurrence is a left edge from which every word
-    is found within `slop` of its place; it counts 1 / (1 + spread).
+    `clauses` gives the boost and slop of each field. An occurrence is a left
+    edge from which every word is found within `slop` of its place; it counts
+    1 / (1 + spread), so an exact phrase counts 1. Documents that lack a word
+    are dropped before any position is unfolded.
     """
-    words = query_terms(queries)
-    known = session.stash(_known(index, words, boosts), "phrase-terms")
-    length = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    words = asked.words
+    boosts = {f: b for f, (b, _) in clauses.items()}
+    known = words.join(_known(asked, boosts), "term")
+    length = words.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("term").alias("words")
+    )
     whole = known.groupBy("query_id", "field").agg(
         F.sum(S.idf(F.col("n_docs"), F.col("df"))).alias("idf"), F.count(F.lit(1)).alias("found")
     )
@@ -249,63 +270,90 @@ def phrase_occurrences(
         known.join(whole, ["query_id", "field"])
         .join(length, "query_id")
         .where(F.col("found") == F.col("n"))
-        .select("query_id", "i", "field", "term", "n", "idf", "avg_len", "boost"),
+        .select(
+            "query_id", "i", "field", "term", "n", "words",
+            (F.col("boost") * S.scale_factor(F.col("avg_len")) * F.col("idf")).alias("coef"),
+            "avg_len",
+            S.boost_of(F.col("field"), {f: s for f, (_, s) in clauses.items()})
+            .cast("int").alias("slop"),
+        ),
         "phrases",
     )
     docs = (
-        join_postings(index, phrase, "positions")
-        .groupBy("query_id", "field", "id", "n", "idf", "avg_len", "boost", "dl")
-        .agg(
-            F.collect_list(
-                F.struct("i", F.transform("positions", lambda p: p - F.col("i")).alias("starts"))
-            ).alias("parts")
-        )
+        join_postings(asked.index, phrase, "positions")
+        .groupBy("query_id", "field", "id", "n", "words", "coef", "avg_len", "slop", "dl")
+        .agg(F.collect_list(F.struct("i", "positions")).alias("parts"))
         .where(F.size("parts") == F.col("n"))
     )
-    if slop == 0:
-        common = F.reduce(
-            F.slice("parts", F.lit(2), F.size("parts")),
-            F.get("parts", F.lit(0))["starts"],
-            lambda acc, p: F.array_intersect(acc, p["starts"]),
-        )
-        hits = docs.withColumn("freq", F.size(common).cast("double")).where(F.col("freq") > 0)
-    else:
-        keys = ["query_id", "field", "id", "n", "idf", "avg_len", "boost", "dl"]
-        edges = (
-            docs.select(*keys, F.explode("parts").alias("p"))
-            .select(*keys, "p.i", F.explode("p.starts").alias("start"))
-            .withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(slop))))
-            .groupBy(*keys, "i", (F.col("start") - F.col("off")).alias("edge"))
-            .agg(F.min("off").alias("off"))
-            .groupBy(*keys, "edge")
-            .agg(
-                F.count(F.lit(1)).alias("words"),
-                F.min("off").alias("least"),
-                F.max("off").alias("spread"),
-                F.size(F.collect_set(F.col("edge") + F.col("off") + F.col("i"))).alias("places"),
-            )
-            .where(
-                (F.col("words") == F.col("n"))
-                & (F.col("places") == F.col("n"))
-                & (F.col("least") == 0)
-            )
+    freq = F.when(F.col("slop") == 0, _phrase_freq(0)).otherwise(
+        _phrase_freq(max(s for _, s in clauses.values()))
+    )
+    score = F.col("coef") * S.saturation(F.col("freq"), F.col("dl"), F.col("avg_len"))
+    return (
+        # unfolded rather than filtered: a filter would be pushed down as a second copy
+        docs.withColumn("freq", F.explode(F.filter(F.array(freq), lambda f: f > 0)))
+        .select("query_id", "field", "id", "freq", score.alias("score"))
+    )
+
+
+def _phrase_freq(slop: int) -> Column:
+    """Occurrences in one document from `parts`, (place i in the query, positions).
+
+    Only set operations on the position lists, so the cost is linear in them:
+    an edge has spread w if every word is reached from it within w.
+    """
+    parts = F.col("parts")
+
+    def starts(p: Column) -> Column:
+        return F.transform(p["positions"], lambda x: x - p["i"])
+
+    def earlier(xs: Column, by: int) -> Column:
+        return F.transform(xs, lambda x: x - by) if by else xs
+
+    def reached(w: int) -> Column:
+        def edges(p: Column) -> Column:
+            return F.flatten(F.array(*[earlier(starts(p), o) for o in range(w + 1)]))
+
+        rest = F.slice(parts, F.lit(2), F.size(parts))
+        first = edges(F.get(parts, F.lit(0)))
+        return F.reduce(rest, first, lambda acc, p: F.array_intersect(acc, edges(p)))
+
+    def places(e: Column) -> Column:
+        nearest = F.transform(
+            parts, lambda p: F.array_min(F.filter(starts(p), lambda s: s >= e)) + p["i"]
         )
-        hits = edges.groupBy(*keys).agg(F.sum(1 / (1 + F.col("spread"))).alias("freq"))
-    score = (
-        F.col("boost")
-        * S.scale_factor(F.col("avg_len"))
-        * F.col("idf")
-        * S.saturation(F.col("freq"), F.col("dl"), F.col("avg_len"))
+        return F.size(F.array_distinct(nearest)) == F.col("n")
+
+    def total(own: Column) -> Column:
+        out, below = F.lit(0.0), F.lit(0)
+        for w in range(slop + 1):
+            within = F.size(own if w == slop else F.array_intersect(own, reached(w)))
+            out, below = out + (within - below) / F.lit(float(w + 1)), within
+        return out
+
+    edges = F.array_intersect(F.flatten(F.transform(parts, starts)), reached(slop))
+    # two query words must not share one place; that can only happen to repeated words
+    apart = _let(
+        edges, lambda e: F.when(F.col("words") < F.col("n"), F.filter(e, places)).otherwise(e)
     )
-    return hits.select("query_id", "field", "id", "freq", score.alias("score"))
+    return _let(apart, total)
+
+
+def _let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
+EXACT_PHRASES = {f: (b, 0) for f, b in S.PHRASES.items()}
+LOOSE_PHRASES = {f: (b, S.SLOP) for f, b in S.SLOPPY_PHRASES.items()}
 
 
 def phrase_match(index: Index, queries: DataFrame) -> DataFrame:
-    return phrase_occurrences(index, queries, S.PHRASES)
+    return phrase_occurrences(ask(index, queries), EXACT_PHRASES)
 
 
 def phrase_slop(index: Index, queries: DataFrame) -> DataFrame:
-    return phrase_occurrences(index, queries, S.SLOPPY_PHRASES, S.SLOP)
+    return phrase_occurrences(ask(index, queries), LOOSE_PHRASES)
 
 
 def bool_should(
@@ -316,27 +364,17 @@ def bool_should(
     Each branch is reduced to one row per (query, document) where the postings
     lie; the only shuffle brings those rows together by document.
     """
+    asked = ask(index, queries)
     coefs = reduce(
         DataFrame.unionByName,
-        [
-            best_fields_coefs(index, queries, max_expansions),
-            cross_fields_coefs(index, queries),
-            term_coefs(index, queries),
-        ],
+        [best_fields_coefs(asked, max_expansions), cross_fields_coefs(asked), term_coefs(asked)],
     )
     zero = F.lit(0.0)
-    plain = clause_scores(index, coefs).select(
-        "query_id", "id",
-        (
-            F.coalesce("best", zero) + F.coalesce("cross", zero) + F.coalesce("term", zero)
-        ).alias("score"),
-    )
-    phrases = [
-        p.select("query_id", "id", "score")
-        for p in (phrase_match(index, queries), phrase_slop(index, queries))
-    ]
+    total = F.coalesce("best", zero) + F.coalesce("cross", zero) + F.coalesce("term", zero)
+    plain = clause_scores(index, coefs).select("query_id", "id", total.alias("score"))
+    phrases = phrase_occurrences(asked, EXACT_PHRASES | LOOSE_PHRASES)
     return (
-        reduce(DataFrame.unionByName, [plain, *phrases])
+        plain.unionByName(phrases.select("query_id", "id", "score"))
         .repartition(index.buckets, "id")
         .groupBy("query_id", "id")
         .agg(F.sum("score").alias("score"))
