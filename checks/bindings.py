@@ -32,7 +32,7 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
     )
     parts = table(spark, sf, "part").withColumnRenamed("p_partkey", "id")
     labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "id")
-    docs = table(spark, sf, "documents").select(
+    docs = session.spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"), "text", "lang", "source", F.split("text", r"\s+").alias("w")
     )
 
@@ -235,6 +235,6 @@ LOG_SPREAD = "4000 days"
 
 def log_keys(spark: SparkSession, sf: str) -> DataFrame:
     """(worker, seq) per event."""
-    return table(spark, sf, "events").select(
+    return session.spread(table(spark, sf, "events"), "event_id").select(
         (F.col("user_id") % 100).alias("worker"), F.col("event_id").alias("seq")
     )

@@ -155,7 +155,10 @@ def english_tokens(docs: DataFrame) -> DataFrame:
     Only distinct words are stemmed; the stems are joined back.
     """
     words = content_tokens(docs)
-    stems = session.stash(with_stems(words.select("term").distinct()), "stems")
+    # stemming is work per word, so the few distinct words are given to all tasks
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vocabulary = words.select("term").distinct().repartition(tasks, "term")
+    stems = session.stash(with_stems(vocabulary), "stems")
     return session.join_spread(words, stems, ["term"], "id").select(
         "id", "field", "pos", "term", "stem"
     )

@@ -71,11 +71,10 @@ def field_stats(post: DataFrame) -> DataFrame:
 
 
 def _bucketed(df: DataFrame, path: str, buckets: int, *sort: str) -> DataFrame:
-    """Write bucketed by id and return the table, one file per bucket."""
+    """Write rows that already lie by id in `buckets` partitions: one file per bucket."""
     name = f"findrift_{uuid.uuid4().hex}"
     (
-        df.repartition(buckets, "id")
-        .write.bucketBy(buckets, "id")
+        df.write.bucketBy(buckets, "id")
         .sortBy(*sort)
         .option("path", path)
         .option("parquet.block.size", ROW_GROUP)
@@ -92,7 +91,8 @@ def build_index(catalog: DataFrame, path: str, buckets: int | None = None) -> In
     """
     spark = catalog.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = _bucketed(index_docs(catalog), f"{path}/docs", n, "id")
+    docs = _bucketed(by_id(index_docs(catalog), n), f"{path}/docs", n, "id")
+    # read back by bucket, the documents unfold into postings without another shuffle
     post = _bucketed(postings(docs), f"{path}/postings", n, "field", "term")
     # a fixed number of files, so that reading it back is as parallel as the postings
     vocab(post).repartitionByRange(n, "field", "term").sortWithinPartitions(

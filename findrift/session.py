@@ -65,6 +65,15 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a table that arrives in fewer pieces than there are cores to all of them.
+
+    A large table has more files than the cluster has cores and is left alone.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
+
+
 def is_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True when a stored table has at most `rows` rows (answered from file footers)."""
     return df.count() <= rows
