@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findrift import session
-from findrift.operators.index import Index, build_index
+from findrift.operators.index import Index, buckets_for, build_index
 from findrift.operators.requests import normalize_limits, normalize_requests
 
 AS_OF = dt.date(2001, 12, 31)
@@ -108,9 +108,11 @@ def fingerprint(spark: SparkSession, sf: str) -> tuple:
 
 def index(spark: SparkSession, sf: str) -> Index:
     """The index of the catalogue, written once per session and input state."""
-    key = (spark.sparkContext.applicationId, sf, fingerprint(spark, sf))
+    state = fingerprint(spark, sf)
+    key = (spark.sparkContext.applicationId, sf, state)
     if key not in _built:
-        _built[key] = build_index(catalog(spark, sf), session.workspace(spark, "index"))
+        n = buckets_for(state[1], spark.sparkContext.defaultParallelism)
+        _built[key] = build_index(catalog(spark, sf), session.workspace(spark, "index"), n)
     return _built[key]
 
 

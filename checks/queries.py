@@ -424,10 +424,9 @@ def table_count(spark, sf):
 
 @register
 def worker_shares(spark, sf):
+    logs = B.table(spark, sf, "events").agg(F.count(F.lit(1))).scalar()
     lines = B.table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("target"))
-    logs = B.table(spark, sf, "events").agg(F.count(F.lit(1)).alias("current"))
-    one = F.lit(1).alias("one")
-    counts = lines.select("target", one).join(logs.select("current", one), "one")
+    counts = lines.select("target", logs.alias("current"))
     return L.worker_shares(counts)
 
 

@@ -9,6 +9,7 @@ is spread over all buckets instead of falling into one task.
 from __future__ import annotations
 
 import dataclasses
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,10 @@ from findrift.operators import analysis
 
 ROW_GROUP = 32 * 1024 * 1024
 
+# Input per bucket, and the most buckets Spark accepts for a table.
+BUCKET_BYTES = 512 * 1024 * 1024
+MAX_BUCKETS = 100_000
+
 
 @dataclasses.dataclass(frozen=True)
 class Index:
@@ -70,6 +75,11 @@ def field_stats(post: DataFrame) -> DataFrame:
     ).select("field", "n_docs", F.when(~exact, F.col("mean")).alias("avg_len"))
 
 
+def buckets_for(input_bytes: int, cores: int) -> int:
+    """Enough buckets for all cores, and for a bucket to stay within a task's memory."""
+    return max(cores, min(MAX_BUCKETS, math.ceil(input_bytes / BUCKET_BYTES)))
+
+
 def _bucketed(df: DataFrame, path: str, buckets: int, *sort: str) -> DataFrame:
     """Write rows that already lie by id in `buckets` partitions: one file per bucket."""
     name = f"findrift_{uuid.uuid4().hex}"
@@ -86,8 +96,8 @@ def _bucketed(df: DataFrame, path: str, buckets: int, *sort: str) -> DataFrame:
 def build_index(catalog: DataFrame, path: str, buckets: int | None = None) -> Index:
     """Write the tables under `path` and open them.
 
-    `buckets` defaults to the session's shuffle partitions. Choose it so that a
-    bucket of `postings` is a few hundred megabytes.
+    `buckets` defaults to the session's shuffle partitions; `buckets_for` gives
+    a number that fits the size of the input.
     """
     spark = catalog.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -95,9 +105,9 @@ def build_index(catalog: DataFrame, path: str, buckets: int | None = None) -> In
     # read back by bucket, the documents unfold into postings without another shuffle
     post = _bucketed(postings(docs), f"{path}/postings", n, "field", "term")
     # a fixed number of files, so that reading it back is as parallel as the postings
-    vocab(post).repartitionByRange(n, "field", "term").sortWithinPartitions(
-        "field", "term"
-    ).write.parquet(f"{path}/vocab")
+    vocab(post).repartition(n, "field", "term").sortWithinPartitions("field", "term").write.parquet(
+        f"{path}/vocab"
+    )
     field_stats(post).coalesce(1).write.parquet(f"{path}/field_stats")
     return Index(
         path, n, docs, post,

@@ -243,24 +243,28 @@ def log_table(keys: DataFrame, host_suffix: str = HOST_SUFFIX) -> DataFrame:
 def log_postings(logs: DataFrame) -> DataFrame:
     """Terms of the analysed log fields: (request_id, field, term, tf, positions).
 
-    A row's terms are counted within the row's own key, which is unique, so no
-    frequent word gathers rows from all over the table.
+    A log line is short, so its words are counted inside the row: no shuffle,
+    whatever the size of the table.
     """
+
     entries = F.array(
         *[
-            F.struct(F.lit(n).alias("field"), T.words(F.col(c)).alias("terms"))
-            for n, c in (
-                ("message", "message"), ("http.path", "http.path"),
-                ("client.user_agent", "client.user_agent"),
-            )
+            F.struct(F.lit(n).alias("field"), T.words(F.col(n)).alias("terms"))
+            for n in ("message", "http.path", "client.user_agent")
         ]
     )
+    terms = F.col("terms")
+
+    def places(term: Column) -> Column:
+        at = F.transform(terms, lambda w, i: F.when(w == term, i))
+        return F.filter(at, lambda i: i.isNotNull())
+
+    counted = F.transform(
+        F.array_distinct(terms),
+        lambda t: F.struct(t.alias("term"), places(t).alias("positions")),
+    )
     return (
-        logs.select("request_id", F.explode(entries).alias("e"))
-        .select("request_id", "e.field", F.posexplode("e.terms").alias("pos", "term"))
-        .groupBy("request_id", "field", "term")
-        .agg(
-            F.count(F.lit(1)).cast("int").alias("tf"),
-            F.sort_array(F.collect_list("pos")).alias("positions"),
-        )
+        logs.select("request_id", F.inline(entries))
+        .select("request_id", "field", F.inline(counted))
+        .select("request_id", "field", "term", F.size("positions").alias("tf"), "positions")
     )

@@ -25,16 +25,11 @@ def autocomplete(docs: DataFrame, queries: DataFrame, size: int) -> DataFrame:
     The query side is split and lower-cased only; the prefixes are on the
     title side: (query_id, rank, id, score).
     """
-    wanted = session.small(
-        session.stash(
-            queries.select("query_id", F.explode(T.words(F.col("query"))).alias("gram")).distinct(),
-            "prefix-words",
-        )
-    )
+    words = F.explode(T.words(F.col("query"))).alias("gram")
+    wanted = session.stash(queries.select("query_id", words).distinct(), "prefix-words")
     # documents lie by id, so counting distinct words needs no shuffle
     counted = (
-        title_grams(docs)
-        .join(wanted, "gram")
+        session.join_spread(title_grams(docs), wanted, ["gram"], "id")
         .groupBy("query_id", "id", "gram").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("query_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     )

@@ -137,22 +137,15 @@ def cross_fields_coefs(asked: Asked) -> DataFrame:
     )
     known = _known(asked, S.CROSS_FIELDS)
     blended = known.groupBy("term").agg(F.max("df").alias("group_df"))
-    group_docs = (
-        asked.index.field_stats.where(F.col("field").isin(*S.CROSS_FIELDS))
-        .agg(F.max("n_docs").alias("group_docs"), F.lit(1).alias("one"))
-    )
+    stats = asked.index.field_stats.where(F.col("field").isin(*S.CROSS_FIELDS))
+    group_docs = stats.agg(F.max("n_docs")).scalar()
     weight = (
         F.col("boost")
         * S.scale_factor(F.col("avg_len"))
-        * S.idf(F.col("group_docs"), F.col("group_df"))
+        * S.idf(group_docs, F.col("group_df"))
         * F.col("times")
     )
-    group = (
-        terms.join(known, "term")
-        .join(blended, "term")
-        .withColumn("one", F.lit(1))
-        .join(F.broadcast(group_docs), "one")
-    )
+    group = terms.join(known, "term").join(blended, "term")
     director = asked.queries.withColumnRenamed("query", "term").join(
         _known(asked, {"director": S.CROSS_DIRECTOR}), "term"
     )
@@ -379,3 +372,18 @@ def bool_should(
         .groupBy("query_id", "id")
         .agg(F.sum("score").alias("score"))
     )
+
+
+def bool_matches(
+    index: Index, queries: DataFrame, max_expansions: int = MAX_EXPANSIONS
+) -> DataFrame:
+    """(query_id, id) of the documents `bool_should` scores, for totals and facets.
+
+    A document that matches a cross-fields or phrase clause holds a word of the
+    query in a field of the best-fields clause, so that clause and the exact
+    terms find them all. No word order is read and nothing is shuffled.
+    """
+    asked = ask(index, queries)
+    coefs = best_fields_coefs(asked, max_expansions).unionByName(term_coefs(asked))
+    pairs = session.stash(coefs.select("query_id", "field", "term").distinct(), "match-terms")
+    return join_postings(index, pairs).select("query_id", "id").distinct()

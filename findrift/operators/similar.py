@@ -25,9 +25,7 @@ def telling_terms(index: Index, anchors: DataFrame) -> DataFrame:
 
     `anchors` is (anchor). An id that is not in the catalogue has no terms.
     """
-    n_docs = F.broadcast(
-        index.docs.agg(F.count(F.lit(1)).alias("all_docs")).withColumn("one", F.lit(1))
-    )
+    all_docs = index.docs.agg(F.count(F.lit(1))).scalar()
     ids = session.small(session.stash(anchors.select("anchor").distinct(), "anchors"))
     own = (
         index.postings.where(F.col("field").isin(*FIELDS))
@@ -35,14 +33,17 @@ def telling_terms(index: Index, anchors: DataFrame) -> DataFrame:
         .join(ids, F.col("id") == F.col("anchor"))
         .drop("id")
     )
-    weight = F.col("tf") * (1 + F.ln((F.col("all_docs") + 1) / (F.col("df") + 1)))
+    own = session.stash(own, "anchor-terms")
+    vocab = index.vocab.where(F.col("field").isin(*FIELDS) & (F.col("df") >= MIN_DOC_FREQ))
+    if session.is_bounded(own):
+        known = vocab.join(F.broadcast(own), ["field", "term"])
+    else:
+        known = session.join_spread(own, vocab, ["field", "term"], "anchor")
+    weight = F.col("tf") * (1 + F.ln((all_docs + 1) / (F.col("df") + 1)))
     best = Window.partitionBy("anchor").orderBy(F.desc("weight"), F.asc("field"), F.asc("term"))
     return (
-        own.join(index.vocab.where(F.col("df") >= MIN_DOC_FREQ), ["field", "term"])
-        .withColumn("one", F.lit(1))
-        .join(n_docs, "one")
         # rounded, so that equal weights are equal whatever the order of operations
-        .withColumn("weight", F.round(weight, 9))
+        known.withColumn("weight", F.round(weight, 9))
         .withColumn("r", F.row_number().over(best))
         .where(F.col("r") <= MAX_TERMS)
         .select("anchor", "field", "term", "df")

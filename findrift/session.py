@@ -74,14 +74,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
 
 
-def is_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when a stored table has at most `rows` rows (answered from file footers)."""
-    return df.count() <= rows
+def is_bounded(df: DataFrame) -> bool:
+    """True when a stored table is within the row bound (answered from file footers)."""
+    return df.count() <= BROADCAST_ROWS
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """Mark a stored table for broadcast if it is within the bound, else leave it."""
-    return F.broadcast(df) if is_bounded(df, rows) else df
+    return F.broadcast(df) if is_bounded(df) else df
 
 
 def join_spread(big: DataFrame, rows: DataFrame, keys: list[str], spread: str) -> DataFrame:
