@@ -149,9 +149,8 @@ def write_exports(spark: SparkSession, sf: str) -> str:
     root = session.workspace(spark, "exports")
     for age in (2, 5, 9):
         day = AS_OF - dt.timedelta(days=age)
-        id_export(spark, sf).withColumn("popularity", F.col("popularity") * age).coalesce(1).write.option(
-            "compression", "gzip"
-        ).json(f"{root}/dt={day}")
+        aged = id_export(spark, sf).withColumn("popularity", F.col("popularity") * age)
+        aged.write.option("compression", "gzip").json(f"{root}/dt={day}")
     return root
 
 

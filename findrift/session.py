@@ -28,6 +28,8 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
         b.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # lists of literals up to this length reach the Parquet reader one by one
+        .config("spark.sql.parquet.pushdown.inFilterThreshold", "256")
         .config("spark.ui.enabled", "false")
     )
     for k, v in conf.items():
