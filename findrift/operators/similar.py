@@ -53,30 +53,47 @@ def telling_terms(index: Index, anchors: DataFrame) -> DataFrame:
 def similar_docs(index: Index, requests: DataFrame) -> DataFrame:
     """(query_id, anchor, rank, id, score) for requests (query_id, anchor, limit).
 
-    Each distinct anchor is scored once. A document must have at least 30 % of
-    the chosen terms; the anchor itself is left out; there are no signals.
+    A document must have at least 30 % of the chosen terms; the anchor itself
+    is left out; there are no signals. Anchors with the same chosen terms, such
+    as copies of a text, are scored once: one more document than can be asked
+    for is kept, so that each anchor can then be left out of its own list.
     """
     chosen = session.stash(telling_terms(index, requests), "telling-terms")
-    needed = chosen.groupBy("anchor").agg(
-        F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * MATCH_SHARE)).alias("needed")
+    # at most 25 pairs per anchor
+    lists = chosen.groupBy("anchor").agg(
+        F.sort_array(F.collect_list(F.struct("field", "term"))).alias("terms")
+    )
+    groups = lists.groupBy("terms").agg(F.min("anchor").alias("sig"))
+    members = session.stash(
+        lists.join(groups, "terms").select(
+            "anchor", "sig",
+            F.greatest(F.lit(1), F.floor(F.size("terms") * MATCH_SHARE)).alias("needed"),
+        ),
+        "similar-groups",
     )
     coef = S.scale_factor(F.col("avg_len")) * S.idf(F.col("n_docs"), F.col("df"))
     rows = session.stash(
-        chosen.join(F.broadcast(index.field_stats), "field")
-        .join(needed, "anchor")
-        .select("anchor", "field", "term", "needed", coef.alias("coef"), "avg_len"),
+        chosen.join(members.where(F.col("anchor") == F.col("sig")), "anchor")
+        .join(F.broadcast(index.field_stats), "field")
+        .select("sig", "field", "term", "needed", coef.alias("coef"), "avg_len"),
         "similar-coefs",
     )
     part = F.col("coef") * S.saturation(F.col("tf"), F.col("dl"), F.col("avg_len"))
     scored = (
         join_postings(index, rows)
-        .where(F.col("id") != F.col("anchor"))
-        .groupBy("anchor", "id", "needed")
+        .groupBy("sig", "id", "needed")
         .agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("found"))
         .where(F.col("found") >= F.col("needed"))
-        .select("anchor", "id", "score")
+        .select("sig", "id", "score")
+    )
+    best = top_per_key(scored, "sig", MAX_SIMILAR + 1).drop("rank")
+    order = Window.partitionBy("anchor").orderBy(F.desc("score"), F.asc("id"))
+    ranked = (
+        members.select("anchor", "sig")
+        .join(best, "sig")
+        .where(F.col("id") != F.col("anchor"))
+        .withColumn("rank", F.row_number().over(order))
     )
-    ranked = top_per_key(scored, "anchor", MAX_SIMILAR)
     return (
         requests.join(ranked, "anchor")
         .where(F.col("rank") <= F.col("limit"))

@@ -231,3 +231,26 @@ def test_normalize_requests(spark):
         (2, " q ", ["A", "b"], 5.5, -1.0, 1, 50),
         (3, "q", None, 0.5, 10.0, 7, 1),
     ]
+
+
+def test_similar_to_copies(spark):
+    """Copies of a text are scored once and still left out of their own lists."""
+    from conftest import FILMS
+    from findrift import schemas
+    from findrift.operators.index import build_index
+
+    copies = [dict(FILMS[2], id=f"c{k:02}") for k in range(25)]
+    ix = build_index(
+        spark.createDataFrame(FILMS + copies, schemas.CATALOG),
+        session.workspace(spark, "copies-test"), 2,
+    )
+    asked = [(k, f"c{k:02}", "20") for k in range(25)] + [(99, "3", "20")]
+    req = normalize_limits(spark.createDataFrame(asked, "query_id INT, anchor STRING, limit STRING"))
+    got = {}
+    for r in SM.similar_docs(ix, req).collect():
+        got.setdefault(r.anchor, {})[r.rank] = r.id
+    assert len(got) == 26
+    everyone = ["3"] + [f"c{k:02}" for k in range(25)]
+    for anchor, ranks in got.items():
+        want = [i for i in everyone if i != anchor][:20]
+        assert [ranks[k] for k in range(1, 21)] == want, anchor
