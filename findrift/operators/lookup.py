@@ -12,9 +12,14 @@ from findrift.operators.paging import top_per_key
 
 
 def lookup_by_id(ids: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
-    """(query_id, id, found, columns); an unknown id is kept with found = false."""
-    known = docs.select("id", *columns, F.lit(True).alias("hit"))
-    return ids.join(known, "id", "left").select(
+    """(query_id, id, found, columns); an unknown id is kept with found = false.
+
+    The documents are first cut down to the wanted ids, past a broadcast of
+    those, so that the outer join sees no more rows than there are requests.
+    """
+    wanted = session.stash(ids.select("id").distinct(), "lookup-ids")
+    known = docs.select("id", *columns).join(session.small(wanted), "id", "left_semi")
+    return ids.join(known.withColumn("hit", F.lit(True)), "id", "left").select(
         "query_id", "id", F.coalesce("hit", F.lit(False)).alias("found"), *columns
     )
 

@@ -30,6 +30,11 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # lists of literals up to this length reach the Parquet reader one by one
         .config("spark.sql.parquet.pushdown.inFilterThreshold", "256")
+        # stream state of many keys is kept on disk, not on the heap
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
         .config("spark.ui.enabled", "false")
     )
     for k, v in conf.items():
