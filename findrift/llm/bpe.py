@@ -1,58 +1,54 @@
 """Byte-level BPE by a rank queue over hierarchical bitmaps.
 
 Each merge rank owns a bucket of positions in a linked list of byte runs. A
-three-level bitmap (64 ways a level) tells which buckets are not empty; two or
-three find-first-set steps give the lowest rank. A popped position whose pair no
-longer has that rank is stale and skipped. Work is linear in the bytes of a
-pre-token, times a constant for the bitmap, so one very long run is no worse
-than many short ones. Within a rank, positions leave leftmost first, as merges
-in the usual definition do.
+three-level bitmap (64 ways a level) tells which buckets are not empty; three
+find-first-set steps give the lowest rank. A position whose pair no longer has
+that rank is stale and skipped. The pre-tokens of a batch share one list and one
+queue, with a wall between neighbours, so the bitmap is read once per bucket and
+not once per position. Within a rank positions leave leftmost first; when a merge
+makes a pair of a lower rank, that bucket comes next. Each pre-token therefore
+sees its merges in the usual order. Work is linear in the bytes, so one very long
+pre-token is no worse than many short ones.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
+from findrift.llm.pieces import PieceEncoder
 from findrift.llm.store import batched
 
-# Encoded pieces kept by one worker; an older half is dropped when it is full.
-CACHE = 400_000
-
-# A blank beside another white-space character is the one place where the text
-# cannot be cut at blanks without changing the matches of the pattern.
-_JOINED = re.compile(r"\s \s|^ \s|\s $|  ")
-
 
 class RankQueue:
-    """Positions by rank; the lowest rank first, the leftmost position within it."""
+    """Buckets of positions by rank; the lowest rank that has any comes first."""
 
     def __init__(self, ranks: int):
         n0 = -(-ranks // 64)
         n1 = -(-n0 // 64)
         if n1 > 64:
             raise ValueError("more ranks than three levels of 64 hold")
-        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
+        self.buckets: dict[int, list[int]] = {}
         self.low, self.mid, self.top = [0] * n0, [0] * n1, 0
 
-    def push(self, rank: int, pos: int) -> None:
-        bucket = self.buckets[rank]
-        if not bucket:
-            a, b = rank >> 6, rank >> 12
-            self.low[a] |= 1 << (rank & 63)
-            self.mid[b] |= 1 << (a & 63)
-            self.top |= 1 << b
-        heappush(bucket, pos)
-
-    def pop(self) -> tuple[int, int] | None:
+    def push(self, rank: int, positions: list[int]) -> None:
+        bucket = self.buckets.get(rank)
+        if bucket is not None:
+            bucket += positions
+            return
+        self.buckets[rank] = positions
+        a, b = rank >> 6, rank >> 12
+        self.low[a] |= 1 << (rank & 63)
+        self.mid[b] |= 1 << (a & 63)
+        self.top |= 1 << b
+
+    def pop(self) -> tuple[int, list[int]] | None:
+        """The lowest rank and its positions, leftmost first."""
         top = self.top
         if not top:
             return None
@@ -61,114 +57,110 @@ class RankQueue:
         a = (b << 6) + (word & -word).bit_length() - 1
         word = self.low[a]
         rank = (a << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        pos = heappop(bucket)
-        if not bucket:
-            self.low[a] &= ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return rank, pos
+        self.low[a] = word = word & (word - 1)
+        if not word:
+            self.mid[b] &= ~(1 << (a & 63))
+            if not self.mid[b]:
+                self.top &= ~(1 << b)
+        bucket = self.buckets.pop(rank)
+        bucket.sort()
+        return rank, bucket
 
 
 class Codec:
     """Encoder and decoder for one vocabulary of byte strings to ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
-        self.ranks, self.pattern, self.cache = ranks, regex.compile(pattern), cache
-        self.bytes = {i: b for b, i in ranks.items()}
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         missing = [i for i in range(256) if bytes([i]) not in ranks]
         if missing:
             raise ValueError(f"no rank for {len(missing)} single bytes")
+        self.ranks = ranks
+        self.bytes = {i: b for b, i in ranks.items()}
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.double = np.full(1 << 16, -1, np.int64)
+        for b, i in ranks.items():
+            if len(b) == 2:
+                self.double[b[0] << 8 | b[1]] = i
+        self.encode = PieceEncoder(pattern, lambda texts: self.merge([t.encode("utf-8") for t in texts]))
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, as little-endian unsigned 32-bit integers."""
         ranks = self.ranks
-        if piece in ranks:
-            return [ranks[piece]]
-        n = len(piece)
-        after = list(range(1, n + 1))  # start of the next run; n ends the list
-        before = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the run at i with the next one, else -1
-        queue = self.queue
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
-            if r is not None:
-                pair[i] = r
-                queue.push(r, i)
+        out = [b"" if not p else ranks[p].to_bytes(4, "little") if p in ranks else None for p in pieces]
+        todo = [k for k, x in enumerate(out) if x is None]
+        if not todo:
+            return out
+        data = b"".join([pieces[k] for k in todo])
+        n = len(data)
+        ends = np.cumsum([len(pieces[k]) for k in todo])
+        raw = np.frombuffer(data, np.uint8).astype(np.int64)
+        first = np.full(n, -1, np.int64)
+        first[:-1] = self.double[raw[:-1] << 8 | raw[1:]]
+        first[ends - 1] = -1
+        wall = bytearray(n + 1)  # 1 where a pre-token starts, and at the end
+        wall[0] = 1
+        for e in ends.tolist():
+            wall[e] = 1
+        token = self.single[raw].tolist()
+        pair = first.tolist()  # rank of the run at i with the next one, else -1
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        queue, get = self.queue, ranks.get
+        buckets = queue.buckets
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
+        at = np.flatnonzero(np.diff(first[order], prepend=-1))
+        for positions in np.split(order, at[1:]) if len(order) else ():
+            queue.push(pair[positions[0]], positions.tolist())
         while (found := queue.pop()) is not None:
-            rank, i = found
-            if pair[i] != rank:
-                continue  # stale: the run was merged into another or has grown
-            j = after[i]
-            k = after[j]
-            after[i] = k
-            pair[j] = -1
-            if k < n:
-                before[k] = i
-                r = ranks.get(piece[i : after[k]])
-                if r is None:
-                    pair[i] = -1
-                else:
-                    pair[i] = r
-                    queue.push(r, i)
-            else:
-                pair[i] = -1
-            h = before[i]
-            if h >= 0:
-                r = ranks.get(piece[h:k])
-                if r is None:
-                    pair[h] = -1
-                elif r != pair[h]:
-                    pair[h] = r
-                    queue.push(r, h)
-        out, i = [], 0
+            rank, bucket = found
+            for turn, i in enumerate(bucket):
+                if pair[i] != rank:
+                    continue  # stale: the run was merged into another or has grown
+                token[i] = rank
+                j = after[i]
+                k = after[i] = after[j]
+                pair[i] = pair[j] = -1
+                least = rank
+                if not wall[k]:
+                    before[k] = i
+                    r = get(data[i : after[k]])
+                    if r is not None:
+                        pair[i] = r
+                        if r in buckets:
+                            buckets[r].append(i)
+                        else:
+                            queue.push(r, [i])
+                        least = r
+                if not wall[i]:
+                    h = before[i]
+                    r = get(data[h:k])
+                    if r is None:
+                        pair[h] = -1
+                    else:
+                        pair[h] = r
+                        if r in buckets:
+                            buckets[r].append(h)
+                        else:
+                            queue.push(r, [h])
+                        if r < least:
+                            least = r
+                if least < rank:  # that bucket comes first
+                    if turn + 1 < len(bucket):
+                        queue.push(rank, bucket[turn + 1 :])
+                    break
+        runs, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
+            runs.append(i)
             i = after[i]
+        ids = np.array(token, "<u4")[runs]
+        cuts = np.searchsorted(runs, ends)
+        start = 0
+        for k, cut in zip(todo, cuts.tolist(), strict=True):
+            out[k] = ids[start:cut].tobytes()
+            start = cut
         return out
 
-    def _piece(self, text: str) -> bytes:
-        """Ids, little-endian, of a stretch that is cut where the pattern cuts too."""
-        ids = self.older.get(text)
-        if ids is None:
-            out: list[int] = []
-            for m in self.pattern.findall(text):
-                out += self.merge(m.encode("utf-8"))
-            ids = np.array(out, "<u4").tobytes()
-        if len(text) <= 64:  # long stretches are rare and would fill the memory
-            if len(self.known) >= self.cache // 2:
-                self.older, self.known = self.known, {}
-            self.known[text] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if _JOINED.search(text):
-            out: list[bytes] = []
-            for m in self.pattern.findall(text):
-                out.append(self.known.get(m) or self._piece(m))
-            return b"".join(out)
-        first, *rest = text.split(" ")
-        known = self.known
-        out = [self._piece(first)] if first else []
-        if not first and not rest:
-            return b""
-        for part in rest:
-            part = " " + part
-            ids = known.get(part)
-            if ids is None:
-                ids = self._piece(part)
-                known = self.known
-            out.append(ids)
-        return b"".join(out)
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -204,7 +196,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            ids = [c.encode(t or "") for t in batch.column(1).to_pylist()]
+            ids = c.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -231,8 +223,7 @@ def digests(
         c = codec(path, pattern)
         for batch in batches:
             counts, one, two = [], [], []
-            for t in batch.column(1).to_pylist():
-                ids = c.encode(t or "")
+            for ids in c.encode(batch.column(1).to_pylist()):
                 counts.append(len(ids) // 4)
                 one.append(hashlib.sha256(ids).hexdigest())
                 two.append(hashlib.sha256(c.decode(ids)).hexdigest())

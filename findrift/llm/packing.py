@@ -14,7 +14,6 @@ do not depend on the size of the table.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -24,66 +23,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findrift.llm.pieces import PieceEncoder
 from findrift.llm.store import batched, written
 
 LENGTH = 2048
 END = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024  # of a token, of a pair of tokens inside a piece
 BLOCK_TOKENS = 4_000_000
-CACHE = 300_000
 FULL = 1 << 62  # numbers of sequences that are one full piece start here
 
-# Encoding may be cut at a blank only between two characters that are no white space.
-_JOINED = re.compile(r"\s \s|^ \s|\s $|  ")
-
-
 def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
 
-class Encoder:
-    """Ids of texts by a tokenizer file; words seen before are not encoded again."""
+_encoders: dict[str, PieceEncoder] = {}
 
-    def __init__(self, path: str, cache: int = CACHE):
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache, self.known, self.older = cache, {}, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def __call__(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if _JOINED.search(text):
-            return self._encode([text])[0]
-        first, *rest = text.split(" ")
-        parts = ([first] if first else []) + [" " + x for x in rest]
-        known, older = self.known, self.older
-        fresh = []
-        for p in {x for x in parts if x not in known}:
-            if p in older:
-                known[p] = older[p]
-            else:
-                fresh.append(p)
-        if fresh:
-            known.update(zip(fresh, self._encode(fresh), strict=True))
-        out = b"".join([known[p] for p in parts])
-        if len(known) > self.cache // 2:
-            self.older, self.known = {k: v for k, v in known.items() if len(k) <= 64}, {}
-        return out
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pattern: str) -> PieceEncoder:
+    """Ids of texts by a tokenizer file; words seen before are not encoded again."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+
+        def many(texts: list[str]) -> list[bytes]:
+            found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+        _encoders[path] = PieceEncoder(pattern, many)
     return _encoders[path]
 
 
@@ -127,7 +95,13 @@ def pack(lengths: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int,
 
 
 def tokens(
-    docs: DataFrame, path: str, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    length: int = LENGTH,
+    end: int = END,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """Per document its full pieces and its remainder: (_row, id, start, size, doc_tokens, full, ids, crc).
 
@@ -143,14 +117,14 @@ def tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path)
+        encode = encoder(path, pattern)
         part = TaskContext.get().partitionId()
         row, seq = part << 40, FULL | part << 36
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             at, start, size, n, full, ids, crc, rows, seqs = [], [], [], [], [], [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                x = encode(t or "") + last
+            for i, x in enumerate(encode(batch.column(1).to_pylist())):
+                x += last
                 m = len(x) // 4
                 for s in range(0, m, length):
                     piece = x[4 * s : 4 * (s + length)]
@@ -199,6 +173,7 @@ def _long(ids: bytes) -> bytes:
 def sequences(
     docs: DataFrame,
     path: str,
+    pattern: str,
     length: int = LENGTH,
     end: int = END,
     block_tokens: int = BLOCK_TOKENS,
@@ -213,7 +188,7 @@ def sequences(
     `cost` is the estimated cost of the piece.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    made = written(tokens(docs, path, length, end, id_col, text_col), "pieces")
+    made = written(tokens(docs, path, pattern, length, end, id_col, text_col), "pieces")
     rest = made.where("not full")
     n = int(rest.agg(F.sum("size")).first()[0] or 0)
     blocks = max(1, -(-n // block_tokens))

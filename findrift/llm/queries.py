@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findrift.llm import bpe, kneser_ney, packing, rules, sharding
+from findrift.llm import bpe, jaccard, kneser_ney, packing, pivots, rules, sharding, toxicity, warc, wrappers
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,13 +40,34 @@ def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """The records read back from an archive of all pages."""
+    archive = warc.write(_table(spark, sf, "pages"))
+    return warc.read(archive, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
     return packing.sequences(
-        _table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+        _table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
     ).drop("cost")
 
 
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all documents by a model of the labels that are not held out."""
+    docs, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
+    held = kneser_ney.remainder("doc_id", 4) == 2
+    model = toxicity.train(docs, labels.where(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "spans")
+
+
+def op6_wrappers(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of all pages."""
+    return wrappers.extract(_table(spark, sf, "pages"))
+
+
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     return sharding.assign(_table(spark, sf, "documents"))
@@ -69,8 +90,22 @@ def op8_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_pivot_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return pivots.link(_table(spark, sf, "embeddings"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return jaccard.classes(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_quality_rules, op4_packing, op7_sharding, op8_kneser_ney)
+    f.__name__: f
+    for f in (
+        op1_byte_bpe, op2_quality_rules, op3_warc, op4_packing, op5_toxicity, op6_wrappers, op7_sharding, op8_kneser_ney,
+        op9_pivot_links, op10_jaccard_join,
+    )
 }
 
 
