@@ -113,5 +113,106 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
+# Words are runs outside space and 0x09-0x0D; the first lines unfold them.
+_WORDS = r"""
+t as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, doc_id, t, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda x: x <> '') as ws from t)
+"""
+
+_OP2 = rf"""
+with {_WORDS},
+g as (select r, unnest(range(1, len(ws) - 3)) as i, ws from w),
+h as (select r, i, array_to_string(ws[i:i + 4], ' ') as g from g),
+k as (select r, i, count(*) over (partition by r, g) as n from h),
+p as (select r, i + unnest([0, 1, 2, 3, 4]) as p from k where n > 1),
+c as (select r, count(distinct p) as n_repeat_words from p group by r),
+m as (
+  select r, doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) as n_upper,
+    length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) as n_letters,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')) as ls
+  from w),
+f as (
+  select doc_id, n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+    coalesce(n_repeat_words, 0) as n_repeat_words, n_upper, n_letters, len(ls) as n_lines
+  from m left join c using (r)),
+b as (
+  select *, (case when n_words < 10 then 1 else 0 end)
+    + (case when 100 * n_repeat_words > 20 * n_words then 2 else 0 end)
+    + (case when 100 * n_symbols > 4 * word_chars then 4 else 0 end)
+    + (case when 100 * n_dup_lines > 50 * n_lines then 8 else 0 end)
+    + (case when 100 * n_upper > 50 * n_letters then 16 else 0 end)
+    + (case when word_chars > 20 * n_words then 32 else 0 end)
+    + (case when 100 * n_letters < 60 * word_chars then 64 else 0 end) as failed
+  from f)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed,
+  failed & 63 = 0 as kept, failed
+from b
+"""
+
+_OP3 = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(encode(coalesce(html, ''))) as d
+  from pages),
+t as (select d, n, max(page_id) as top from p where n >= 1000 group by d, n)
+select page_id, n as payload_bytes, d as payload_digest,
+  case when top is not null and (page_id is null or page_id < top) then 'revisit' else 'response' end as record_type,
+  case when page_id is null or page_id < top then top end as refers_to
+from p left join t using (d, n)
+"""
+
+_OP9 = """
+with recursive
+v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as x from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e as (
+  select a.vec_id as a, b.vec_id as b from v a join v b
+  on a.label = b.label and len(a.x) = len(b.x) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.x, b.x) >= 0.93),
+r(id, c) as (
+  select vec_id, vec_id from embeddings
+  union
+  select e.a, r.c from r join e on e.b = r.id where r.c < e.a),
+n as (select a, count(*) as n from e group by a),
+c as (select id, min(c) as c from r group by id)
+select vec_id, coalesce(n, 0) as n_links, c as component_id, vec_id = c as kept
+from embeddings join c on c.id = vec_id left join n on n.a = vec_id
+"""
+
+_OP10 = rf"""
+with recursive
+t as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ \x09-\x0D]+'), lambda x: x <> '') as ws
+  from documents),
+u as (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as i from t where len(ws) > 0),
+s as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as g from u),
+n as (select doc_id, count(*) as n from s group by doc_id),
+o as (
+  select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b using (g)
+  where a.doc_id <> b.doc_id group by all),
+e as (
+  select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b
+  where 100 * o >= 80 * (x.n + y.n - o)),
+r(id, c) as (
+  select doc_id, doc_id from documents
+  union
+  select e.a, r.c from r join e on e.b = r.id where r.c < e.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.c as component_id
+from documents d left join n using (doc_id) join (select id, min(c) as c from r group by id) c on c.id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that have one; the others are tested against brute force."""
+    return {
+        "op2_quality_rules": _OP2,
+        "op3_warc": _OP3,
+        "op9_pivot_links": _OP9,
+        "op10_jaccard_join": _OP10,
+    }
