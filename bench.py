@@ -25,7 +25,7 @@ from findrift.session import build_session  # noqa: E402
 HEADLINE = (
     "bm25_match", "fuzzy_expand", "bool_should", "search", "search_totals", "facet_genres",
     "similar_docs", "autocomplete", "browse", "genres_overview", "lookup_by_id", "build_postings",
-    "tokens_english", "normalize_detail", "upsert_by_id", "log_table", "log_postings",
+    "tokens_english", "normalize_detail", "upsert_by_id", "log_append", "log_postings",
 )
 
 

@@ -56,6 +56,8 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
             F.when(F.col("id") % 17 == 0, "")
             .when(F.col("id") % 19 == 0, "1998")
             .when(F.col("id") % 23 == 0, "not-a-date")
+            .when(F.col("id") % 41 == 0, "9223372036854775807")
+            .when(F.col("id") % 43 == 0, F.concat(F.lit("9517"), F.col("id").cast("string"), F.lit("00000")))
             .otherwise(F.date_format(day, "yyyy-MM-dd")).alias("release_date"),
             "vote_average", "vote_count",
             F.when(F.col("id") % 13 != 0, F.round(F.col("p_retailprice") / 10, 4)).alias("popularity"),
@@ -90,8 +92,9 @@ def raw_requests(spark: SparkSession, sf: str) -> DataFrame:
         F.when(i % 3 == 0, "en,,src1").alias("genres"),
         F.when(i % 4 == 0, "5.0").when(i % 4 == 1, "abc").alias("ratingMin"),
         F.when(i % 5 == 0, "6").alias("ratingMax"),
-        F.when(i % 7 == 0, "2").when(i % 7 == 1, "0").alias("page"),
-        F.when(i % 6 == 0, "10").when(i % 6 == 1, "500").alias("pageSize"),
+        F.when(i % 7 == 0, "2").when(i % 7 == 1, "0").when(i % 7 == 2, "99999999999")
+        .when(i % 11 == 3, "9" * 400).alias("page"),
+        F.when(i % 6 == 0, "10").when(i % 6 == 1, "500").when(i % 6 == 2, "99999999999").alias("pageSize"),
     )
 
 
@@ -130,7 +133,8 @@ def raw_limits(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("item_id")
     return table(spark, sf, "benchmark").select(
         i.alias("query_id"), (i * 26).alias("anchor"),
-        F.when(i % 4 == 0, "50").when(i % 4 == 1, "0").when(i % 4 == 2, "x").alias("limit"),
+        F.when(i % 4 == 0, "50").when(i % 4 == 1, "0").when(i % 4 == 2, "x")
+        .when(i % 8 == 3, "3000000000").alias("limit"),
     )
 
 
@@ -230,12 +234,26 @@ def bulk_responses(spark: SparkSession, sf: str) -> DataFrame:
     ).select(F.to_json(F.struct("errors", "items")).alias("value"))
 
 
-# Covers the spread of the log times of 100 workers, 30 days apart.
-LOG_SPREAD = "4000 days"
+# Events land in slices of their time, each sent twice; a row is late by less than this.
+LOG_DELAY = "6 hours"
+SLICES = 5
 
 
-def log_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """(worker, seq) per event."""
-    return session.spread(table(spark, sf, "events"), "event_id").select(
-        (F.col("user_id") % 100).alias("worker"), F.col("event_id").alias("seq")
-    )
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    """All columns of `events`, times as instants."""
+    return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def land_events(spark: SparkSession, sf: str, times: int) -> str:
+    """Events as NDJSON files in the order of their time, each slice sent `times` times."""
+    path = session.workspace(spark, "landed-events")
+    rows = events(spark, sf)
+    first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    width = (last - first) // SLICES + 1
+    at = F.floor((F.unix_micros("ts") - first) / width)
+    for k in range(SLICES):
+        for _ in range(times):
+            rows.where(at == k).coalesce(1).write.mode("append").option(
+                "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+            ).json(path)
+    return path

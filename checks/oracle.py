@@ -12,7 +12,6 @@ from checks.spec import SPEC, columns
 from findrift.functions import scoring as S
 from findrift.functions import stemmer as P
 from findrift.functions import text as T
-from findrift.operators import logs as L
 
 AS_OF = "date '2001-12-31'"
 WORD = r"[\p{L}\p{N}]+"
@@ -56,24 +55,6 @@ def words(text: str) -> str:
     return f"regexp_extract_all(lower(coalesce({text}, '')), '{WORD}')"
 
 
-def draw(key: str, purpose: str, n: int) -> str:
-    return (
-        f"(cast(concat('0x', substr(md5(concat({key}, ':{purpose}')), 1, 8)) as bigint) % {n})"
-    )
-
-
-def pick(key: str, purpose: str, values) -> str:
-    return f"list_extract({_list(values)}, 1 + {draw(key, purpose, len(values))})"
-
-
-def weighted(key: str, purpose: str, weights) -> str:
-    out, top = "case", 0
-    for value, percent in weights:
-        top += percent
-        out += f" when {draw(key, purpose, 100)} < {top} then {_lit(value)}"
-    return out + " end"
-
-
 def _decay(date: str, days: int) -> str:
     return (
         f"coalesce(exp(pow(abs(date_diff('day', {date}, {AS_OF})) / {days}.0, 2) * ln(0.5)), 1.0)"
@@ -111,7 +92,8 @@ select b.doc_id id, array_to_string(w[1:5], ' ') title, array_to_string(w[6:9],
   string_split(p_name, ' ') keywords,
   [array_to_string(w[10:11], ' '), array_to_string(w[13:14], ' ')] cast_names, p_brand director,
   case when b.doc_id % 17 = 0 then '' when b.doc_id % 19 = 0 then '1998'
-       when b.doc_id % 23 = 0 then 'not-a-date'
+       when b.doc_id % 23 = 0 then 'not-a-date' when b.doc_id % 41 = 0 then '9223372036854775807'
+       when b.doc_id % 43 = 0 then concat('9517', b.doc_id, '00000')
        else strftime(date '1995-01-01' + cast(b.doc_id * 37 % 2400 as integer), '%Y-%m-%d') end release_date,
   va vote_average, cast(vc as integer) vote_count,
   case when b.doc_id % 13 = 0 then null else round(p_retailprice / 10, 4) end popularity,
@@ -123,7 +105,8 @@ CTE["docs"] = r"""
 select *, case
   when regexp_full_match(release_date, '\d{4}-\d{2}-\d{2}') then try_cast(release_date as date)
   when regexp_full_match(release_date, '\d{4}') then make_date(cast(release_date as integer), 1, 1)
-  else cast(make_timestamp(try_cast(release_date as bigint) * 1000) as date) end release_dt
+  when try_cast(release_date as bigint) between -62135596800000 and 253402300799999
+  then cast(make_timestamp(try_cast(release_date as bigint) * 1000) as date) end release_dt
 from catalog
 """
 CTE["rawq"] = r"""
@@ -134,16 +117,18 @@ select item_id query_id,
   case when item_id % 3 = 0 then 'en,,src1' end genres,
   case item_id % 4 when 0 then '5.0' when 1 then 'abc' end rmin,
   case when item_id % 5 = 0 then '6' end rmax,
-  case item_id % 7 when 0 then '2' when 1 then '0' end page,
-  case item_id % 6 when 0 then '10' when 1 then '500' end size
+  case when item_id % 7 = 0 then '2' when item_id % 7 = 1 then '0' when item_id % 7 = 2 then '99999999999'
+    when item_id % 11 = 3 then repeat('9', 400) end page,
+  case item_id % 6 when 0 then '10' when 1 then '500' when 2 then '99999999999' end size
 from (select *, string_split_regex(text, '\s+') w from benchmark)
 """
 CTE["q"] = """
 select query_id, coalesce(q, '') query,
   nullif([x for x in string_split(genres, ',') if x <> ''], []) genres,
   try_cast(rmin as double) rating_min, try_cast(rmax as double) rating_max,
-  greatest(1, coalesce(try_cast(page as integer), 1)) page,
-  least(50, greatest(1, coalesce(try_cast(size as integer), 24))) page_size
+  case when page is null then 1 when length(page) > 16 then 1000000000000000
+    else least(1000000000000000, greatest(1, cast(page as bigint))) end page,
+  case when size is null then 24 else least(50, greatest(1, cast(size as bigint))) end page_size
 from rawq
 """
 CTE["t"] = "select query_id, query from q where trim(query) <> ''"
@@ -190,7 +175,6 @@ select field, qterm, term, df, edits, 1 - edits / least(lq, lt) weight from (
   join (select field, term, df, length(term) lt, translate(term, '{_LETTERS}', {_TO}) m from voc) v
     on a.field = v.field and abs(lq - lt) <= k)
 where edits <= k
-qualify row_number() over (partition by field, qterm order by weight desc, df desc, term) <= 50
 """
 CTE["best"] = f"""
 select query_id, id, max(s) score from (
@@ -296,7 +280,7 @@ from matched m join q using (query_id) where {_GENRE_OK} and {_RATING_OK}
 """
 CTE["sreq"] = """
 select item_id query_id, item_id * 26 anchor,
-  case item_id % 4 when 0 then 20 when 1 then 1 else 8 end as "limit" from benchmark
+  case when item_id % 4 = 0 or item_id % 8 = 3 then 20 when item_id % 4 = 1 then 1 else 8 end as "limit" from benchmark
 """
 CTE["tell"] = """
 select r.anchor, p.field, p.term, v.df
@@ -331,54 +315,11 @@ CTE["delta2"] = """
 select id, title || ' v2' title, director from catalog where id in (select doc_id from labels)
 union all select item_id + 1000000000, text || ' v2', 'new' from benchmark
 """
-# logs
-CTE["keys"] = "select user_id % 100 worker, event_id seq from events"
-CTE["l1"] = f"""
-select *, {weighted('seq', 'level', L.LEVELS)} as level, {weighted('seq', 'method', L.METHODS)} as method,
-  {weighted('seq', 'status', L.STATUS_CODES)} status_code from keys
-"""
-CTE["l2"] = f"""
-select *, {pick('seq', 'service', L.SERVICES)} service,
-  replace({pick('seq', 'path', L.PATHS)}, '{{id}}', cast(1 + {draw('seq', 'path_id', 100000)} as varchar)) as path,
-  concat('user-', 1 + {draw('seq', 'user', 500000)}) user_id,
-  concat(10 + {draw('seq', 'ip1', 214)}, '.', {draw('seq', 'ip2', 256)}, '.',
-         {draw('seq', 'ip3', 256)}, '.', 1 + {draw('seq', 'ip4', 254)}) ip,
-  {pick('seq', 'agent', L.AGENTS)} user_agent from l1
-"""
-_TEMPLATE = "case level " + " ".join(
-    f"when {_lit(k)} then {pick('seq', 'message', v)}" for k, v in L.MESSAGES.items()
-) + " end"
-CTE["l3"] = f"""
-select *, case when status_code < 400 then 1 + {draw('seq', 'time', 200)}
-  else 200 + {draw('seq', 'time', 4801)} end response_time_ms, {_TEMPLATE} as template from l2
-"""
-_MESSAGE = "template"
-for _place, _value in (
-    ("{ms}", "response_time_ms"),
-    ("{n}", f"1 + {draw('seq', 'n', 1000)}"),
-    ("{pct}", f"70 + {draw('seq', 'pct', 30)}"),
-    ("{svc}", pick("seq", "svc", L.SERVICES)),
-    ("{rid}", "substr(md5(cast(seq as varchar)), 1, 12)"),
-    ("{n2}", f"1 + {draw('seq', 'n2', 50)}"),
-):
-    _MESSAGE = f"replace({_MESSAGE}, '{_place}', cast({_value} as varchar))"
-CTE["logs"] = f"""
-select *, sha_id[1:32] trace_id from (
-select *, {_MESSAGE} message,
-  concat(lpad(cast(worker as varchar), 2, '0'), '-', lpad(cast(seq as varchar), 12, '0')) request_id,
-  sha256(concat(lpad(cast(worker as varchar), 2, '0'), '-', lpad(cast(seq as varchar), 12, '0'))) sha_id,
-  concat(service, '-', {draw('seq', 'host', 6)}, '.{L.HOST_SUFFIX}') host,
-  date_trunc('second', timestamp '2025-11-01' + to_days(cast(30 * worker as integer))
-    + to_milliseconds(seq * (5 + {draw('seq', 'step', 46)})))
-    + to_milliseconds({draw('seq', 'millis', 1000)}) as time
-from l3)
-"""
 _LOG_TERMS = f"""
-select request_id, field, term, count(*) tf, list_sort(list(pos)) positions from (
-  select request_id, field, unnest(range(len(ts))) pos, unnest(ts) term from (
-    select request_id, 'message' field, {words('message')} ts from logs
-    union all select request_id, 'http.path', {words('path')} from logs
-    union all select request_id, 'client.user_agent', {words('user_agent')} from logs))
+select conv_id, turn, field, term, count(*) tf, list_sort(list(pos)) positions from (
+  select conv_id, turn, field, unnest(range(len(ts))) pos, unnest(ts) term from (
+    select conv_id, turn, 'role' field, {words('role')} ts from conversations
+    union all select conv_id, turn, 'text', {words('text')} from conversations))
 group by all
 """
 
@@ -594,9 +535,8 @@ FINAL: dict[str, str] = {
         "select id, title, director from catalog where id not in (select id from delta2)"
     ),
     "append_generated_id": (
-        "select concat('generated_', epoch_ms(hour), '_', (row_number() over "
-        "(partition by hour, event_id % 32 order by event_id) - 1) * 32 + event_id % 32) id, event_id "
-        "from (select event_id, date_trunc('hour', ts) as hour from events)"
+        "select concat('generated_', epoch_ms(date_trunc('hour', ts)), '_', event_id) id, event_id from events "
+        "union all select concat('generated_0_', event_id + 1000000000), event_id + 1000000000 from events"
     ),
     "bulk_pairs_sink": (
         "select '{\"index\":{\"_index\":\"catalog\",\"_id\":\"' || id || '\"}}' as value from catalog "
@@ -611,24 +551,10 @@ FINAL: dict[str, str] = {
     "table_count": (
         "select 'catalog' as name, count(*) as rows from documents union all select 'events', count(*) from events"
     ),
-    "worker_shares": (
-        "select w worker, case when w = 99 then n - (n // 100) * 99 else n // 100 end share from range(100) r(w), "
-        "(select greatest(0, (select count(*) from lineitem) - (select count(*) from events)) n)"
-    ),
-    "weighted_column": "select * from l1",
-    "uniform_columns": "select * from l2",
-    "dependent_columns": "select * from l3",
-    "render_messages": "select * from logs",
-    "trace_ids": "select * from logs",
-    "event_times": "select * from logs",
-    "log_table": "select * from logs",
-    "log_append": (
-        "select cast(time as date) dt, 2 * count(*) as rows, count(distinct request_id) request_ids "
-        "from logs group by all"
-    ),
+    "log_append": "select *, cast(ts as date) dt from events union all select *, cast(ts as date) from events",
     "log_postings": _LOG_TERMS,
-    "stream_log_append": "select cast(time as date) dt, * from logs",
-    "stream_dedupe": "select * from logs",
+    "stream_log_append": "select *, cast(ts as date) dt from events",
+    "stream_dedupe": "select *, cast(ts as date) dt from events",
     "stream_upsert": (
         "select id, title, director from delta2 union all "
         "select id, title, director from catalog where id not in (select id from delta2)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -383,15 +384,22 @@ def upsert_by_id(spark, sf):
 
 @register
 def append_generated_id(spark, sf):
-    arrivals = B.table(spark, sf, "events").select(
-        "event_id", F.date_trunc("hour", "ts").alias("arrived")
+    # two batches that arrive in the same moments, and once more with all rows in one millisecond
+    rows = B.events(spark, sf).select("event_id", F.date_trunc("hour", "ts").alias("arrived"))
+    burst = B.events(spark, sf).select(
+        (F.col("event_id") + 1_000_000_000).alias("event_id"), F.lit(0).cast("timestamp").alias("arrived")
+    )
+    batches = [rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), burst]
+    return reduce(
+        DataFrame.unionByName, [TB.with_generated_ids(b, "arrived", "event_id") for b in batches]
     )
-    return TB.with_generated_ids(arrivals, "arrived", "event_id")
 
 
 def _bulk_docs(spark, sf) -> DataFrame:
+    """Documents whose first key reads like an action."""
     return B.catalog(spark, sf).select(
-        "id", "title", "overview", "genres", "vote_count", "popularity"
+        "id", F.struct(F.col("id").alias("_id")).alias("index"), "title", "overview", "genres",
+        "vote_count", "popularity",
     )
 
 
@@ -422,104 +430,41 @@ def table_count(spark, sf):
     )
 
 
-@register
-def worker_shares(spark, sf):
-    logs = B.table(spark, sf, "events").agg(F.count(F.lit(1))).scalar()
-    lines = B.table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("target"))
-    counts = lines.select("target", logs.alias("current"))
-    return L.worker_shares(counts)
-
-
 # --- logs ------------------------------------------------------------------
 
 
-@register
-def weighted_column(spark, sf):
-    return L.weighted_column(B.log_keys(spark, sf))
-
-
-@register
-def uniform_columns(spark, sf):
-    return L.uniform_columns(B.log_keys(spark, sf))
-
-
-@register
-def dependent_columns(spark, sf):
-    return L.dependent_columns(L.weighted_column(B.log_keys(spark, sf)))
-
-
-@register
-def render_messages(spark, sf):
-    return L.render_messages(L.dependent_columns(L.weighted_column(B.log_keys(spark, sf))))
-
-
-@register
-def trace_ids(spark, sf):
-    return L.trace_ids(L.uniform_columns(B.log_keys(spark, sf)))
-
-
-@register
-def event_times(spark, sf):
-    return L.event_times(B.log_keys(spark, sf)).withColumnRenamed("@timestamp", "time")
-
-
-def _flat(logs: DataFrame) -> DataFrame:
-    return logs.select(
-        F.col("`@timestamp`").alias("time"), "level", "service", "message", "request_id",
-        "user_id", "http.*", "client.*", "host", "trace_id",
-    )
-
-
-@register
-def log_table(spark, sf):
-    return _flat(L.log_table(B.log_keys(spark, sf)))
-
-
 @register
 def log_append(spark, sf):
     path = session.workspace(spark, "logs")
-    rows = L.log_table(B.log_keys(spark, sf))
-    TB.append_by_day(rows, path)
-    TB.append_by_day(rows, path)
-    stored = TB.stored_or_empty(spark, path, schemas.LOG + ", dt DATE")
-    return stored.groupBy("dt").agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("request_id").alias("request_ids")
-    )
+    rows = B.events(spark, sf)
+    TB.append_by_day(rows, path, "ts")
+    TB.append_by_day(rows, path, "ts")
+    return TB.stored_or_empty(spark, path, schemas.EVENT + ", dt DATE")
 
 
 @register
 def log_postings(spark, sf):
-    return L.log_postings(L.log_table(B.log_keys(spark, sf)))
+    return L.log_postings(B.table(spark, sf, "conversations"), ["conv_id", "turn"], ["role", "text"])
 
 
 # --- streams ---------------------------------------------------------------
 
 
-def _land_logs(spark, sf, times: int) -> str:
-    """Log rows as NDJSON files, written `times` times as by a retried sender."""
-    path = session.workspace(spark, "landed-logs")
-    rows = L.log_table(B.log_keys(spark, sf))
-    for _ in range(times):
-        rows.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").json(path)
-    return path
-
-
 @register
 def stream_log_append(spark, sf):
     out = session.workspace(spark, "stream-logs")
-    rows = ST.read_logs(spark, _land_logs(spark, sf, 1), files_per_batch=2)
-    ST.append_logs(rows, out, session.workspace(spark, "stream-state"), drain=True).awaitTermination()
-    return TB.stored_or_empty(spark, out, schemas.LOG + ", dt DATE").withColumnRenamed("@timestamp", "time")
+    rows = ST.read_logs(spark, B.land_events(spark, sf, 1), schemas.EVENT, files_per_batch=2)
+    ST.append_logs(rows, "ts", out, session.workspace(spark, "stream-state"), drain=True).awaitTermination()
+    return TB.stored_or_empty(spark, out, schemas.EVENT + ", dt DATE")
 
 
 @register
 def stream_dedupe(spark, sf):
     out = session.workspace(spark, "stream-once")
-    rows = ST.once_per_request(
-        ST.read_logs(spark, _land_logs(spark, sf, 2), files_per_batch=4), B.LOG_SPREAD
-    )
-    ST.append_logs(rows, out, session.workspace(spark, "stream-state"), drain=True).awaitTermination()
-    return TB.stored_or_empty(spark, out, schemas.LOG + ", dt DATE").withColumnRenamed("@timestamp", "time")
+    landed = ST.read_logs(spark, B.land_events(spark, sf, 2), schemas.EVENT, files_per_batch=1)
+    rows = ST.once_per_key(landed, "event_id", "ts", B.LOG_DELAY)
+    ST.append_logs(rows, "ts", out, session.workspace(spark, "stream-state"), drain=True).awaitTermination()
+    return TB.stored_or_empty(spark, out, schemas.EVENT + ", dt DATE")
 
 
 @register

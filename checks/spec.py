@@ -71,23 +71,12 @@ SPEC = {
     "bulk_pairs_scan": "id:i title:s overview:s genres:l vote_count:i popularity:f",
     "bulk_outcome": "items:i indexed:i without_error:i failed:i",
     "table_count": "name:s rows:i",
-    "worker_shares": "worker:i share:i",
     # logs
-    "weighted_column": "seq:i level:s method:s status_code:i",
-    "uniform_columns": "seq:i service:s path:s user_id:s ip:s user_agent:s",
-    "dependent_columns": "seq:i response_time_ms:i template:s",
-    "render_messages": "seq:i message:s",
-    "trace_ids": "seq:i request_id:s trace_id:s host:s",
-    "event_times": "seq:i time:t",
-    "log_table": (
-        "time:t level:s service:s message:s request_id:s user_id:s method:s path:s status_code:i "
-        "response_time_ms:i ip:s user_agent:s host:s trace_id:s"
-    ),
-    "log_append": "dt:s rows:i request_ids:i",
-    "log_postings": "request_id:s field:s term:s tf:i positions:l",
+    "log_append": "event_id:i ts:t user_id:i event_type:s value:f props:s dt:s",
+    "log_postings": "conv_id:i turn:i field:s term:s tf:i positions:l",
     # streams
-    "stream_log_append": "dt:s request_id:s time:t level:s message:s",
-    "stream_dedupe": "request_id:s time:t service:s",
+    "stream_log_append": "event_id:i ts:t user_id:i event_type:s value:f props:s dt:s",
+    "stream_dedupe": "event_id:i ts:t user_id:i event_type:s value:f props:s dt:s",
     "stream_upsert": "id:i title:s director:s",
 }
 

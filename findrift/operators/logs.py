@@ -1,270 +1,25 @@
-"""A log table built from integer keys.
-
-Every column is a function of (worker, seq), so a lost task or a re-run gives
-the same rows. There is no shuffle and no join: lists are literals.
-"""
+"""Terms of log texts."""
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findrift.functions import draws as D
 from findrift.functions import text as T
 
-WORKERS = 100
-SEQ_PER_WORKER = 500_000_000
-BASE_TIME = dt.datetime(2025, 11, 1, tzinfo=dt.timezone.utc)
-DAYS_PER_WORKER = 30
-
-# What the log rows are drawn from.
-SERVICES = (
-    "api-gateway", "movie-service", "user-service", "search-service", "recommendation-engine",
-    "auth-service", "streaming-service", "payment-service", "notification-service", "cdn-edge",
-)
-LEVELS = (("INFO", 70), ("WARN", 15), ("ERROR", 10), ("DEBUG", 5))
-METHODS = (("GET", 60), ("POST", 25), ("PUT", 10), ("DELETE", 5))
-STATUS_CODES = (
-    (200, 75), (201, 5), (204, 3), (301, 2), (400, 5), (401, 3), (403, 2), (404, 3), (500, 2),
-)
-PATHS = (
-    "/api/v1/movies",
-    "/api/v1/movies/{id}",
-    "/api/v1/search",
-    "/api/v1/users/{id}/profile",
-    "/api/v1/users/{id}/watchlist",
-    "/api/v1/stream/{id}/start",
-    "/api/v1/stream/{id}/heartbeat",
-    "/api/v1/auth/login",
-    "/api/v1/auth/refresh",
-    "/api/v1/auth/logout",
-    "/api/v1/recommendations/{id}",
-    "/api/v1/movies/{id}/reviews",
-    "/api/v1/payments/subscribe",
-    "/api/v1/notifications/preferences",
-    "/api/v1/movies/{id}/similar",
-    "/api/v1/genres",
-    "/api/v1/trending",
-    "/health",
-    "/metrics",
-    "/api/v1/users/{id}/history",
-)
-MESSAGES = {
-    "INFO": (
-        "Request completed successfully",
-        "Cache hit for resource",
-        "User session validated",
-        "Stream chunk delivered",
-        "Search query executed in {ms}ms",
-        "Database query returned {n} results",
-        "Rate limit check passed",
-        "JWT token validated",
-        "CDN cache populated",
-        "Recommendation model scored {n} candidates",
-    ),
-    "WARN": (
-        "Slow query detected: {ms}ms",
-        "Rate limit approaching threshold",
-        "Connection pool utilization at {pct}%",
-        "Retry attempt {n} for upstream service",
-        "Cache miss, falling back to database",
-        "Deprecated API version called",
-        "High memory utilization detected",
-    ),
-    "ERROR": (
-        "Upstream service timeout after {ms}ms",
-        "Database connection failed",
-        "Authentication token expired",
-        "Internal server error: null pointer exception",
-        "Circuit breaker opened for {svc}",
-        "Failed to process payment transaction",
-        "Stream buffer overflow",
-    ),
-    "DEBUG": (
-        "Entering request handler",
-        "SQL: SELECT * FROM movies WHERE id = {n}",
-        "Redis GET key=session:{rid}",
-        "HTTP client pool stats: active={n}, idle={n2}",
-        "Request headers parsed",
-    ),
-}
-AGENTS = (
-    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36",
-    "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/537.36",
-    "Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X)",
-    "Mozilla/5.0 (Linux; Android 14) AppleWebKit/537.36",
-    "MovieApp/3.2.1 (iOS 17.0)",
-    "MovieApp/3.2.0 (Android 14)",
-    "python-requests/2.31.0",
-    "curl/8.4.0",
-)
-HOST_SUFFIX = "svc.cluster.local"
 
+def log_postings(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Terms of the analysed fields of each row: (keys, field, term, tf, positions).
 
-def worker_shares(counts: DataFrame, workers: int = WORKERS) -> DataFrame:
-    """(worker, share) for one row (target, current): the remainder, split evenly.
-
-    The last worker also takes what the division leaves over.
+    Words are unfolded with their places and grouped by row and term, so the
+    work is linear in the length of a text. `keys` name a row.
     """
-    left = F.greatest(F.lit(0).cast("bigint"), F.col("target") - F.col("current"))
-    even = F.floor(F.col("left") / workers).cast("bigint")
-    return (
-        counts.select(left.alias("left"))
-        .withColumn("worker", F.explode(F.sequence(F.lit(0), F.lit(workers - 1))))
-        .select(
-            "worker",
-            F.when(F.col("worker") == workers - 1, F.col("left") - even * (workers - 1))
-            .otherwise(even).alias("share"),
-        )
-    )
-
-
-def log_keys(
-    spark: SparkSession, rows: int, workers: int = WORKERS, partitions: int | None = None
-) -> DataFrame:
-    """(worker, seq) for `rows` new log rows, each worker in its own key range."""
-    even = rows // workers
-    worker = (
-        F.least(F.floor(F.col("id") / even), F.lit(workers - 1)) if even else F.lit(workers - 1)
-    ).cast("bigint")
-    seq = F.col("worker") * SEQ_PER_WORKER + F.col("id") - F.col("worker") * even
-    ids = spark.range(0, rows, 1, partitions or max(workers, 1))
-    return ids.withColumn("worker", worker).select("worker", seq.alias("seq"))
-
-
-def weighted_column(keys: DataFrame) -> DataFrame:
-    """Level, method and status by their percentages."""
-    k = F.col("seq")
-    return keys.select(
-        "*",
-        D.weighted(k, "level", LEVELS).alias("level"),
-        D.weighted(k, "method", METHODS).alias("method"),
-        D.weighted(k, "status", STATUS_CODES).alias("status_code"),
-    )
-
-
-def uniform_columns(keys: DataFrame) -> DataFrame:
-    """Service, path, user, address and agent, all values equally likely."""
-    k = F.col("seq")
-    path = F.replace(
-        D.pick(k, "path", PATHS), F.lit("{id}"), D.between(k, "path_id", 1, 100_000).cast("string")
-    )
-    ip = F.concat_ws(
-        ".",
-        D.between(k, "ip1", 10, 223), D.between(k, "ip2", 0, 255),
-        D.between(k, "ip3", 0, 255), D.between(k, "ip4", 1, 254),
-    )
-    return keys.select(
-        "*",
-        D.pick(k, "service", SERVICES).alias("service"),
-        path.alias("path"),
-        F.concat(F.lit("user-"), D.between(k, "user", 1, 500_000)).alias("user_id"),
-        ip.alias("ip"),
-        D.pick(k, "agent", AGENTS).alias("user_agent"),
-    )
-
-
-def dependent_columns(rows: DataFrame) -> DataFrame:
-    """Response time by status and message template by level."""
-    k = F.col("seq")
-    time = F.when(F.col("status_code") < 400, D.between(k, "time", 1, 200)).otherwise(
-        D.between(k, "time", 200, 5000)
-    )
-    template = F.lit(None).cast("string")
-    for level, texts in MESSAGES.items():
-        template = F.when(F.col("level") == level, D.pick(k, "message", texts)).otherwise(template)
-    return rows.select("*", time.alias("response_time_ms"), template.alias("template"))
-
-
-def render_messages(rows: DataFrame) -> DataFrame:
-    """Fill the template's places."""
-    k = F.col("seq")
-    fills = (
-        ("{ms}", F.col("response_time_ms")),
-        ("{n}", D.between(k, "n", 1, 1000)),
-        ("{pct}", D.between(k, "pct", 70, 99)),
-        ("{svc}", D.pick(k, "svc", SERVICES)),
-        ("{rid}", F.left(F.md5(k.cast("string")), F.lit(12))),
-        ("{n2}", D.between(k, "n2", 1, 50)),
-    )
-    message: Column = F.col("template")
-    for place, value in fills:
-        message = F.replace(message, F.lit(place), value.cast("string"))
-    return rows.withColumn("message", message)
-
-
-def trace_ids(rows: DataFrame, host_suffix: str = HOST_SUFFIX) -> DataFrame:
-    """Request id from worker and seq, trace id from it, host from the service."""
-    k = F.col("seq")
-    host = F.concat(
-        F.col("service"), F.lit("-"), D.draw(k, "host", 6).cast("string"), F.lit(f".{host_suffix}")
-    )
-    return (
-        rows.withColumn("request_id", F.format_string("%02d-%012d", "worker", "seq"))
-        .withColumn("trace_id", F.left(F.sha2("request_id", 256), F.lit(32)))
-        .withColumn("host", host)
-    )
-
-
-def event_times(rows: DataFrame) -> DataFrame:
-    """Time from worker and seq with drawn milliseconds, so not in order of seq."""
-    k = F.col("seq")
-    base = int(BASE_TIME.timestamp() * 1000)
-    millis = (
-        F.lit(base)
-        + F.col("worker").cast("bigint") * (DAYS_PER_WORKER * 86_400_000)
-        + k * D.between(k, "step", 5, 50)
-    )
-    second = F.floor(millis / 1000).cast("bigint") * 1000
-    return rows.withColumn("@timestamp", F.timestamp_millis(second + D.draw(k, "millis", 1000)))
-
-
-def log_columns(keys: DataFrame, host_suffix: str = HOST_SUFFIX) -> DataFrame:
-    """All columns, flat."""
-    rows = dependent_columns(uniform_columns(weighted_column(keys)))
-    return event_times(trace_ids(render_messages(rows), host_suffix))
-
-
-def log_table(keys: DataFrame, host_suffix: str = HOST_SUFFIX) -> DataFrame:
-    """Log rows in their stored, nested shape from (worker, seq)."""
-    return log_columns(keys, host_suffix).select(
-        "@timestamp", "level", "service", "message", "request_id", "user_id",
-        F.struct(
-            "method", "path", F.col("status_code").cast("int").alias("status_code"),
-            F.col("response_time_ms").cast("int").alias("response_time_ms"),
-        ).alias("http"),
-        F.struct("ip", "user_agent").alias("client"),
-        "host", "trace_id",
-    )
-
-
-def log_postings(logs: DataFrame) -> DataFrame:
-    """Terms of the analysed log fields: (request_id, field, term, tf, positions).
-
-    A log line is short, so its words are counted inside the row: no shuffle,
-    whatever the size of the table.
-    """
-
     entries = F.array(
-        *[
-            F.struct(F.lit(n).alias("field"), T.words(F.col(n)).alias("terms"))
-            for n in ("message", "http.path", "client.user_agent")
-        ]
-    )
-    terms = F.col("terms")
-
-    def places(term: Column) -> Column:
-        at = F.transform(terms, lambda w, i: F.when(w == term, i))
-        return F.filter(at, lambda i: i.isNotNull())
-
-    counted = F.transform(
-        F.array_distinct(terms),
-        lambda t: F.struct(t.alias("term"), places(t).alias("positions")),
+        *[F.struct(F.lit(f).alias("field"), T.words(F.col(f)).alias("terms")) for f in fields]
     )
     return (
-        logs.select("request_id", F.inline(entries))
-        .select("request_id", "field", F.inline(counted))
-        .select("request_id", "field", "term", F.size("positions").alias("tf"), "positions")
+        rows.select(*keys, F.inline(entries))
+        .select(*keys, "field", F.posexplode("terms").alias("pos", "term"))
+        .groupBy(*keys, "field", "term")
+        .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     )

@@ -22,7 +22,7 @@ from findrift import session
 from findrift.functions import scoring as S
 from findrift.functions import text as T
 from findrift.operators.analysis import ANALYSED, EXACT
-from findrift.operators.fuzzy import MAX_EXPANSIONS, fuzzy_expand
+from findrift.operators.fuzzy import fuzzy_expand
 from findrift.operators.index import Index
 
 # Clause numbers in the coefficient table.
@@ -93,7 +93,7 @@ def fuzzy_terms(queries: DataFrame) -> DataFrame:
     return per_field(words, analysed).unionByName(per_field(whole, exact))
 
 
-def best_fields_coefs(asked: Asked, max_expansions: int = MAX_EXPANSIONS) -> DataFrame:
+def best_fields_coefs(asked: Asked, max_expansions: int | None = None) -> DataFrame:
     """Fuzzy terms of six boosted fields; slot = field, so slots are summed then maxed.
 
     Exact fields take the whole query as one term. The expansions of a query
@@ -243,7 +243,7 @@ def _only(index: Index, coefs: DataFrame, column: str) -> DataFrame:
 
 
 def best_fields(
-    index: Index, queries: DataFrame, max_expansions: int = MAX_EXPANSIONS
+    index: Index, queries: DataFrame, max_expansions: int | None = None
 ) -> DataFrame:
     return _only(index, best_fields_coefs(ask(index, queries), max_expansions), "best")
 
@@ -364,7 +364,7 @@ def phrase_slop(index: Index, queries: DataFrame) -> DataFrame:
 
 
 def bool_should(
-    index: Index, queries: DataFrame, max_expansions: int = MAX_EXPANSIONS
+    index: Index, queries: DataFrame, max_expansions: int | None = None
 ) -> DataFrame:
     """(query_id, id, score): all clauses of the keyword query, scores added.
 
@@ -389,7 +389,7 @@ def bool_should(
 
 
 def bool_matches(
-    index: Index, queries: DataFrame, max_expansions: int = MAX_EXPANSIONS
+    index: Index, queries: DataFrame, max_expansions: int | None = None
 ) -> DataFrame:
     """(query_id, id) of the documents `bool_should` scores, for totals and facets.
 

@@ -24,20 +24,9 @@ DETAIL = (
 
 ID_EXPORT = "id BIGINT, popularity DOUBLE"
 
-LOG = (
-    "`@timestamp` TIMESTAMP, level STRING, service STRING, message STRING, request_id STRING, "
-    "user_id STRING, http STRUCT<method: STRING, path: STRING, status_code: INT, "
-    "response_time_ms: INT>, client STRUCT<ip: STRING, user_agent: STRING>, host STRING, "
-    "trace_id STRING"
-)
+EVENT = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 BULK_RESPONSE = (
     "errors BOOLEAN, items ARRAY<STRUCT<index: STRUCT<status: INT, "
     "error: STRUCT<type: STRING, reason: STRING>>>>"
 )
-
-# Requests as they arrive (all text) and after normalisation.
-RAW_REQUEST = (
-    "query_id BIGINT, q STRING, genres STRING, ratingMin STRING, ratingMax STRING, "
-    "page STRING, pageSize STRING"
-)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findrift import schemas
 
 CATALOG_BATCH = 100
-LOG_BATCH = 26_214
-ACTION = '{"index":'
 
 
 def bulk_lines(docs: DataFrame, index: str | None = None, id_column: str | None = None) -> DataFrame:
@@ -36,16 +34,38 @@ def write_bulk_pairs(
 def bulk_pairs_scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(_id, document fields) from bulk files.
 
-    The action prefix separates records, so a pair is one record and no order
-    between lines is needed.
+    Lines that are not blank come in pairs, whatever they hold: a document may
+    start like an action. Each line is numbered within its file (a split counts
+    its lines, the splits before it give the offset), and pairs meet by number.
     """
-    pair = spark.read.option("lineSep", ACTION).text(path).where(F.length("value") > 0)
-    action = F.concat(F.lit(ACTION), F.substring_index("value", "\n", 1))
-    body = F.regexp_extract("value", r"(?s)^[^\n]*\n(.*)$", 1)
-    return pair.select(
-        F.get_json_object(action, "$.index._id").alias("_id"),
-        F.from_json(F.trim(body), schema).alias("doc"),
-    ).select("_id", "doc.*")
+    lines = (
+        spark.read.text(path)
+        .select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+        .where(F.trim("value") != "")
+        .withColumn("m", F.monotonically_increasing_id())
+    )
+    before = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (
+        lines.groupBy("f", "b")
+        .agg(F.min("m").alias("first"), F.count("*").alias("n"))
+        .select("f", "b", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    )
+    line = F.col("m") - F.col("first") + F.col("skip")
+    pair = (
+        lines.join(splits, ["f", "b"])
+        .select("f", F.expr("(m - first + skip) div 2").alias("k"), (line % 2 == 0).alias("is_action"), "value")
+        .groupBy("f", "k")
+        .agg(
+            F.max(F.when(F.col("is_action"), F.col("value"))).alias("action"),
+            F.max(F.when(~F.col("is_action"), F.col("value"))).alias("body"),
+        )
+    )
+    ids = [F.get_json_object("action", f"$.{verb}._id") for verb in ("index", "create")]
+    return (
+        pair.where(F.col("body").isNotNull())
+        .select(F.coalesce(*ids).alias("_id"), F.from_json("body", schema).alias("doc"))
+        .select("_id", "doc.*")
+    )
 
 
 def bulk_outcome(responses: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,11 +36,14 @@ def ensure_table(spark: SparkSession, name: str, schema: str, path: str, *by: st
     return spark.table(name)
 
 
-def append_by_day(df: DataFrame, path: str, time: str = "@timestamp") -> None:
-    """Append rows, one folder per day of their time."""
-    df.withColumn("dt", F.to_date(F.col(f"`{time}`"))).write.mode("append").partitionBy(
-        "dt"
-    ).parquet(path)
+def append_by_day(df: DataFrame, path: str, time: str) -> None:
+    """Append rows, one folder per day of their time.
+
+    Rows are clustered by day first, so a task writes few files; a large day is
+    split over tasks at run time.
+    """
+    by_day = df.withColumn("dt", F.to_date(F.col(f"`{time}`")))
+    by_day.hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
 
 
 def latest_versions(delta: DataFrame, key: str, order: str) -> DataFrame:
@@ -61,21 +64,14 @@ def upsert_by_id(base: DataFrame, delta: DataFrame, key: str = "id", order: str
     return kept.unionByName(last.select(*base.columns))
 
 
-def with_generated_ids(arrivals: DataFrame, time: str, number: str) -> DataFrame:
-    """Add id = generated_{millis}_{n}, unique within a millisecond.
+def with_generated_ids(arrivals: DataFrame, time: str, key: str) -> DataFrame:
+    """Add id = generated_{millis}_{key}.
 
-    `number` is an integer key of the arrivals. Numbering runs per millisecond
-    and residue of that key, so a burst in one millisecond is spread over many
-    tasks and a re-run gives the same ids.
+    `key` names an arrival, so ids stay unique however many batches share a
+    millisecond, and a repeated batch gives the same ids. No shuffle.
     """
-    part = Window.partitionBy("_ms", "_salt").orderBy(number)
-    return (
-        arrivals.withColumn("_ms", F.unix_millis(F.col(time).cast("timestamp")))
-        .withColumn("_salt", F.pmod(F.col(number), F.lit(session.SALT)))
-        .withColumn("_n", (F.row_number().over(part) - 1) * session.SALT + F.col("_salt"))
-        .withColumn("id", F.concat_ws("_", F.lit("generated"), "_ms", "_n"))
-        .drop("_ms", "_salt", "_n")
-    )
+    millis = F.unix_millis(F.col(time).cast("timestamp"))
+    return arrivals.withColumn("id", F.concat_ws("_", F.lit("generated"), millis, F.col(key)))
 
 
 def table_count(df: DataFrame, name: str) -> DataFrame:

@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from findrift import schemas
 from findrift.sources import tables as TB
 
 REFRESH = "30 seconds"
 
 
-def read_logs(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+def read_logs(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
     """Log rows from NDJSON files as they land."""
-    reader = spark.readStream.schema(schemas.LOG)
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(path)
@@ -25,25 +24,25 @@ def _writer(rows: DataFrame, checkpoint: str, drain: bool):
     return w.trigger(availableNow=True) if drain else w.trigger(processingTime=REFRESH)
 
 
-def append_logs(rows: DataFrame, out: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
+def append_logs(rows: DataFrame, time: str, out: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
     """Append to a table partitioned by day, a batch every 30 seconds.
 
     With `drain`, take what is there and stop.
     """
-    by_day = rows.withColumn("dt", F.to_date(F.col("`@timestamp`")))
+    by_day = rows.withColumn("dt", F.to_date(F.col(f"`{time}`")))
     return (
         _writer(by_day, checkpoint, drain)
         .format("parquet").partitionBy("dt").option("path", out).outputMode("append").start()
     )
 
 
-def once_per_request(rows: DataFrame, delay: str) -> DataFrame:
-    """Drop repeats of a request id.
+def once_per_key(rows: DataFrame, key: str, time: str, delay: str) -> DataFrame:
+    """Drop repeats of a key.
 
-    Log times are not in order of arrival, so `delay` must cover their spread;
-    it also bounds the state kept.
+    `delay` is how late a row may arrive; state older than that is released, and
+    rows later than that are dropped.
     """
-    return rows.withWatermark("`@timestamp`", delay).dropDuplicatesWithinWatermark(["request_id"])
+    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def upsert_arrivals(

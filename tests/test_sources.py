@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from findrift import schemas, session
 from findrift.functions.dates import lenient_date
 from findrift.functions.display import display_columns, runtime_text
-from findrift.operators import logs as L
+from findrift.operators.requests import normalize_limits, normalize_requests
 from findrift.plans.catalog_load import load_catalog
-from findrift.plans.log_load import load_logs
 from findrift.sources import bulk as BK
 from findrift.sources import details as D
 from findrift.sources import exports as X
@@ -138,39 +137,6 @@ def test_display(spark, films):
     assert {x.x for x in got} == {"45m", "1h 0m"}
 
 
-def test_worker_shares(spark):
-    counts = spark.createDataFrame([(1003, 0)], "target BIGINT, current BIGINT")
-    shares = {r.worker: r.share for r in L.worker_shares(counts, 4).collect()}
-    assert shares == {0: 250, 1: 250, 2: 250, 3: 253}
-    none = spark.createDataFrame([(5, 9)], "target BIGINT, current BIGINT")
-    assert {r.share for r in L.worker_shares(none, 4).collect()} == {0}
-
-
-def test_log_load_tops_up(spark):
-    path = new(spark)
-    assert load_logs(spark, path, 103, workers=4, partitions=3).count() == 103
-    assert load_logs(spark, path, 103, workers=4).count() == 103
-    keys = [(r.worker, r.seq) for r in L.log_keys(spark, 10, workers=4).collect()]
-    assert len(set(keys)) == 10
-    assert keys[-1] == (3, 3 * L.SEQ_PER_WORKER + 3) and keys[2] == (1, L.SEQ_PER_WORKER)
-
-
-def test_logs_repeat(spark):
-    keys = L.log_keys(spark, 200, workers=5)
-    a = sorted(map(str, L.log_table(keys).collect()))
-    b = sorted(map(str, L.log_table(keys.repartition(7)).collect()))
-    assert a == b
-    row = L.log_table(keys).first()
-    assert row.http.response_time_ms <= 200 if row.http.status_code < 400 else row.http.response_time_ms >= 200
-
-
-def test_log_levels_follow_their_weights(spark):
-    rows = L.weighted_column(L.log_keys(spark, 20_000))
-    share = {r.level: r["count"] / 20_000 for r in rows.groupBy("level").count().collect()}
-    for level, percent in L.LEVELS:
-        assert abs(share[level] - percent / 100) < 0.02
-
-
 def test_stream_upsert_survives_a_repeated_batch(spark):
     landed, deltas, state = new(spark), new(spark), new(spark)
     schema = "id STRING, title STRING, seq INT"
@@ -189,9 +155,45 @@ def test_stream_upsert_survives_a_repeated_batch(spark):
 
 def test_stream_drops_repeats(spark):
     landed, out = new(spark), new(spark)
-    logs = L.log_table(L.log_keys(spark, 50, workers=2))
-    for _ in range(3):
-        logs.coalesce(1).write.mode("append").json(landed)
-    rows = ST.once_per_request(ST.read_logs(spark, landed, files_per_batch=1), "100 days")
-    ST.append_logs(rows, out, new(spark), drain=True).awaitTermination()
-    assert spark.read.parquet(out).count() == 50
+    rows = spark.sql("SELECT id AS event_id, timestamp_seconds(1000000000 + id * 600) AS ts, 'x' AS event_type FROM range(200)")
+    for lo in (0, 100):
+        for _ in range(3):
+            rows.where(f"event_id between {lo} and {lo + 99}").coalesce(1).write.mode("append").json(landed)
+    read = ST.read_logs(spark, landed, schemas.EVENT, files_per_batch=1)
+    ST.append_logs(ST.once_per_key(read, "event_id", "ts", "1 hour"), "ts", out, new(spark), drain=True).awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == list(range(200))
+
+
+def test_numbers_of_any_length(spark):
+    rows = [(1, "99999999999", "99999999999"), (2, "9" * 400, "-5"), (3, "abc", None), (4, " 3x", "0")]
+    raw = spark.createDataFrame(
+        [(i, None, None, None, None, p, s) for i, p, s in rows],
+        "query_id INT, q STRING, genres STRING, ratingMin STRING, ratingMax STRING, page STRING, pageSize STRING",
+    )
+    got = {r.query_id: (r.page, r.page_size) for r in normalize_requests(raw).collect()}
+    assert got == {1: (99999999999, 50), 2: (10**15, 1), 3: (1, 24), 4: (3, 1)}
+    limits = spark.createDataFrame([(1, "3000000000"), (2, "-1"), (3, None)], "query_id INT, limit STRING")
+    assert [r["limit"] for r in normalize_limits(limits).orderBy("query_id").collect()] == [20, 1, 8]
+
+
+def test_bulk_documents_that_look_like_actions(spark):
+    path = new(spark)
+    lines = [
+        '{"index":{"_id":"1"}}', '{"index":{"x":1},"title":"a"}', '{ "create" : {"_id":"2"}}', '{"title":"b"}',
+        "", '{"index":{}}', '{"index":{"_id":"9"}}', '{"index":{"_id":"4"}}', '{"title":"d"}',
+    ]
+    spark.createDataFrame([(x,) for x in lines], "value STRING").coalesce(1).write.text(path)
+    got = BK.bulk_pairs_scan(spark, path, "title STRING").collect()
+    assert sorted(((r._id, r.title) for r in got), key=str) == [("1", "a"), ("2", "b"), ("4", "d"), (None, None)]
+
+
+def test_generated_ids_of_two_batches(spark):
+    rows = spark.sql("SELECT id AS n, timestamp'2020-01-01' AS t FROM range(100)")
+    a, b = (TB.with_generated_ids(rows.where(f"n % 2 = {k}"), "t", "n") for k in (0, 1))
+    assert a.unionByName(b).select("id").distinct().count() == 100
+
+
+def test_numbers_that_are_no_date(spark):
+    rows = [("9223372036854775807", None), ("-9223372036854775808", None), ("951782400000", "2000-02-29"), ("99999999999999999999", None)]
+    df = spark.createDataFrame(rows, "t STRING, want STRING")
+    assert all(str(r.got) == str(r.want) for r in df.select("want", lenient_date(F.col("t")).alias("got")).collect())
