@@ -205,15 +205,15 @@ def test_similar(spark, index):
     assert 3 not in got
 
 
-def test_deep_bound_equals_shallow_ranking(spark):
+def test_bands_equal_plain_ranking(spark):
     df = spark.range(5000).select(
-        (F.col("id") % 2).alias("k"), F.col("id"), ((F.col("id") * 37) % 101).cast("double").alias("score")
+        (F.col("id") % 3).alias("k"), F.col("id"),
+        F.when(F.col("id") % 3 == 2, 1.0).otherwise((F.col("id") * 37) % 101 / 7 - 3).alias("score"),
     )
-    deep = P.top_per_key(df, "k", 1500)
-    shallow = P.top_per_key(df, "k", 900)
-    a = {(r.k, r.rank): r.id for r in deep.collect()}
-    b = {(r.k, r.rank): r.id for r in shallow.collect()}
-    assert len(a) == 3000 and all(a[key] == v for key, v in b.items())
+    a = {(r.k, r.rank): r.id for r in P.rank_all(df, "k").collect()}
+    b = {(r.k, r.rank): r.id for r in P.top_per_key(df, "k", 900).collect()}
+    assert len(a) == 5000 and all(a[key] == v for key, v in b.items())
+    assert {r for k, r in a if k == 0} == set(range(1, 1668))
 
 
 def test_normalize_requests(spark):
