@@ -32,7 +32,7 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
     )
     parts = table(spark, sf, "part").withColumnRenamed("p_partkey", "id")
     labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "id")
-    docs = session.spread(table(spark, sf, "documents"), "doc_id").select(
+    docs = table(spark, sf, "documents").repartition("doc_id").select(
         F.col("doc_id").alias("id"), "text", "lang", "source", F.split("text", r"\s+").alias("w")
     )
 

@@ -228,7 +228,7 @@ def _matches(spark, sf) -> DataFrame:
     ix = B.index(spark, sf)
     docs = ix.docs.select("id", F.col("genres").alias("doc_genres"), "vote_average")
     wanted = B.requests(spark, sf).select("query_id", "genres", "rating_min", "rating_max")
-    wanted = session.small(session.stash(wanted, "filters"))
+    wanted = session.stash(wanted, "filters")
     return M.bool_should(ix, B.keyword_queries(spark, sf)).join(docs, "id").join(wanted, "query_id")
 
 

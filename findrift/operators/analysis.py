@@ -159,6 +159,6 @@ def english_tokens(docs: DataFrame) -> DataFrame:
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vocabulary = words.select("term").distinct().repartition(tasks, "term")
     stems = session.stash(with_stems(vocabulary), "stems")
-    return session.join_spread(words, stems, ["term"], "id").select(
+    return words.join(stems, "term").select(
         "id", "field", "pos", "term", "stem"
     )

@@ -20,9 +20,8 @@ from findrift.operators import analysis
 
 ROW_GROUP = 32 * 1024 * 1024
 
-# Input per bucket, and the most buckets Spark accepts for a table.
+# Input per bucket.
 BUCKET_BYTES = 512 * 1024 * 1024
-MAX_BUCKETS = 100_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -77,12 +76,15 @@ def field_stats(post: DataFrame) -> DataFrame:
 
 def buckets_for(input_bytes: int, cores: int) -> int:
     """Enough buckets for all cores, and for a bucket to stay within a task's memory."""
-    return max(cores, min(MAX_BUCKETS, math.ceil(input_bytes / BUCKET_BYTES)))
+    return max(cores, math.ceil(input_bytes / BUCKET_BYTES))
 
 
 def _bucketed(df: DataFrame, path: str, buckets: int, *sort: str) -> DataFrame:
     """Write rows that already lie by id in `buckets` partitions: one file per bucket."""
     name = f"findrift_{uuid.uuid4().hex}"
+    conf = df.sparkSession.conf  # Spark refuses more buckets than this setting names
+    if buckets > int(conf.get("spark.sql.sources.bucketing.maxBuckets")):
+        conf.set("spark.sql.sources.bucketing.maxBuckets", str(buckets))
     (
         df.write.bucketBy(buckets, "id")
         .sortBy(*sort)

@@ -18,7 +18,7 @@ def lookup_by_id(ids: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
     those, so that the outer join sees no more rows than there are requests.
     """
     wanted = session.stash(ids.select("id").distinct(), "lookup-ids")
-    known = docs.select("id", *columns).join(session.small(wanted), "id", "left_semi")
+    known = docs.select("id", *columns).join(wanted, "id", "left_semi")
     return ids.join(known.withColumn("hit", F.lit(True)), "id", "left").select(
         "query_id", "id", F.coalesce("hit", F.lit(False)).alias("found"), *columns
     )
@@ -34,7 +34,7 @@ def autocomplete(docs: DataFrame, queries: DataFrame, size: int) -> DataFrame:
     wanted = session.stash(queries.select("query_id", words).distinct(), "prefix-words")
     # documents lie by id, so counting distinct words needs no shuffle
     counted = (
-        session.join_spread(title_grams(docs), wanted, ["gram"], "id")
+        title_grams(docs).join(wanted, "gram")
         .groupBy("query_id", "id", "gram").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("query_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     )

@@ -60,7 +60,7 @@ def ask(index: Index, queries: DataFrame) -> Asked:
         T.words(F.col("query")), F.array(F.col("query"), F.lower("query"))
     )
     distinct = session.stash(queries.select(F.explode(strings).alias("term")).distinct(), "strings")
-    lexicon = index.vocab.join(session.small(distinct), "term").join(
+    lexicon = index.vocab.join(distinct, "term").join(
         F.broadcast(index.field_stats), "field"
     )
     return Asked(index, queries, session.stash(lexicon, "lexicon"))
@@ -168,24 +168,9 @@ def term_coefs(asked: Asked) -> DataFrame:
     return _coef(known, TERM, slot, F.col("boost") * S.idf(F.col("n_docs"), F.col("df")))
 
 
-# Up to this many (field, term) pairs are also given to the scan as literals.
-PUSHED_PAIRS = 256
-
-
 def join_postings(index: Index, rows: DataFrame, *more: str) -> DataFrame:
-    """Postings of the (field, term) pairs in a stored table `rows`.
-
-    A bucket is sorted by field and term, so the literals of a small request
-    let the reader skip the row groups and pages that hold none of them.
-    """
-    post = index.postings.select("id", "field", "term", "tf", "dl", *more)
-    wanted = rows.select("field", "term").limit(PUSHED_PAIRS + 1).collect()
-    if len(wanted) <= PUSHED_PAIRS:
-        post = post.where(
-            F.col("field").isin(sorted({r.field for r in wanted}))
-            & F.col("term").isin(sorted({r.term for r in wanted}))
-        )
-    return session.join_spread(post, rows, ["field", "term"], "id")
+    """Postings of the (field, term) pairs in a stored table `rows`."""
+    return index.postings.select("id", "field", "term", "tf", "dl", *more).join(rows, ["field", "term"])
 
 
 def clause_scores(index: Index, coefs: DataFrame) -> DataFrame:

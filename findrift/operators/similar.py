@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from findrift import session
 from findrift.functions import scoring as S
-from findrift.operators.index import Index
+from findrift.operators.index import Index, postings
 from findrift.operators.matching import join_postings
 from findrift.operators.paging import top_per_key
 from findrift.operators.requests import MAX_SIMILAR
@@ -26,19 +26,13 @@ def telling_terms(index: Index, anchors: DataFrame) -> DataFrame:
     `anchors` is (anchor). An id that is not in the catalogue has no terms.
     """
     all_docs = index.docs.agg(F.count(F.lit(1))).scalar()
-    ids = session.small(session.stash(anchors.select("anchor").distinct(), "anchors"))
-    own = (
-        index.postings.where(F.col("field").isin(*FIELDS))
-        .select("id", "field", "term", "tf")
-        .join(ids, F.col("id") == F.col("anchor"))
-        .drop("id")
-    )
-    own = session.stash(own, "anchor-terms")
+    ids = session.stash(anchors.select("anchor").distinct(), "anchors")
+    # the anchors' own documents are analysed again: far less than a look through all postings
+    docs = index.docs.join(ids, F.col("id") == F.col("anchor"), "left_semi")
+    own = postings(docs).where(F.col("field").isin(*FIELDS))
+    own = session.stash(own.select(F.col("id").alias("anchor"), "field", "term", "tf"), "anchor-terms")
     vocab = index.vocab.where(F.col("field").isin(*FIELDS) & (F.col("df") >= MIN_DOC_FREQ))
-    if session.is_bounded(own):
-        known = vocab.join(F.broadcast(own), ["field", "term"])
-    else:
-        known = session.join_spread(own, vocab, ["field", "term"], "anchor")
+    known = vocab.join(own, ["field", "term"])
     weight = F.col("tf") * (1 + F.ln((all_docs + 1) / (F.col("df") + 1)))
     best = Window.partitionBy("anchor").orderBy(F.desc("weight"), F.asc("field"), F.asc("term"))
     return (
@@ -75,12 +69,25 @@ def similar_docs(index: Index, requests: DataFrame) -> DataFrame:
     rows = session.stash(
         chosen.join(members.where(F.col("anchor") == F.col("sig")), "anchor")
         .join(F.broadcast(index.field_stats), "field")
-        .select("sig", "field", "term", "needed", coef.alias("coef"), "avg_len"),
+        .select("sig", "field", "term", "df", "needed", coef.alias("coef"), "avg_len"),
         "similar-coefs",
     )
+    # Of n terms `needed` must match, so one of the n - needed + 1 rarest does: exact,
+    # and frequent terms make no candidates.
+    by_df = Window.partitionBy("sig").orderBy("df", "field", "term")
+    n = F.count(F.lit(1)).over(Window.partitionBy("sig"))
+    rare = session.stash(
+        rows.withColumn("r", F.row_number().over(by_df)).withColumn("n", n)
+        .where(F.col("r") <= F.col("n") - F.col("needed") + 1).select("sig", "field", "term"),
+        "similar-rare",
+    )
+    candidates = session.stash(join_postings(index, rare).select("sig", "id").distinct(), "similar-candidates")
     part = F.col("coef") * S.saturation(F.col("tf"), F.col("dl"), F.col("avg_len"))
     scored = (
-        join_postings(index, rows)
+        index.postings.select("id", "field", "term", "tf", "dl")
+        .where(F.col("field").isin(*FIELDS))
+        .join(candidates, "id")
+        .join(rows.drop("df"), ["sig", "field", "term"])
         .groupBy("sig", "id", "needed")
         .agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("found"))
         .where(F.col("found") >= F.col("needed"))

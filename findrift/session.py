@@ -1,4 +1,9 @@
-"""Session set-up, the shared working folder, and size-checked broadcasts."""
+"""Session set-up and the shared working folder.
+
+Joins carry no hint that depends on a row count: side tables are stored first
+(`stash`), so the planner knows their bytes and broadcasts those under its
+threshold; beyond it, it shuffles and splits skewed keys at run time.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +11,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A table is broadcast only after its stored rows were counted and found to be
-# at most this many. The rows concerned hold a few numbers and two short
-# strings, so the bound is some tens of megabytes per executor.
-BROADCAST_ROWS = 300_000
-
-# Fan-out used to spread a hot join key when the small side is over the bound.
-SALT = 32
 
 _local_root: str | None = None
 
@@ -28,8 +24,6 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
         b.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # lists of literals up to this length reach the Parquet reader one by one
-        .config("spark.sql.parquet.pushdown.inFilterThreshold", "256")
         # stream state of many keys is kept on disk, not on the heap
         .config(
             "spark.sql.streaming.stateStore.providerClass",
@@ -70,39 +64,3 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     path = workspace(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a table that arrives in fewer pieces than there are cores to all of them.
-
-    A large table has more files than the cluster has cores and is left alone.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
-
-
-def is_bounded(df: DataFrame) -> bool:
-    """True when a stored table is within the row bound (answered from file footers)."""
-    return df.count() <= BROADCAST_ROWS
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Mark a stored table for broadcast if it is within the bound, else leave it."""
-    return F.broadcast(df) if is_bounded(df) else df
-
-
-def join_spread(big: DataFrame, rows: DataFrame, keys: list[str], spread: str) -> DataFrame:
-    """Join a large table with a stored smaller one on skewed keys.
-
-    Within the row bound `rows` is broadcast and `big` stays in place. Beyond
-    it the join shuffles with each key salted by `spread`, a column of `big`,
-    so that a key found in a third of the rows is not one task.
-    """
-    if is_bounded(rows):
-        return big.join(F.broadcast(rows), keys)
-    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint")))
-    return (
-        big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALT)))
-        .join(rows.withColumn("_salt", salts), [*keys, "_salt"])
-        .drop("_salt")
-    )

@@ -60,7 +60,7 @@ def latest_versions(delta: DataFrame, key: str, order: str) -> DataFrame:
 def upsert_by_id(base: DataFrame, delta: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
     """Rows of `base`, replaced whole by the last version in `delta`, plus new ids."""
     last = session.stash(latest_versions(delta, key, order), "delta")
-    kept = base.join(session.small(last.select(key)), key, "left_anti")
+    kept = base.join(last.select(key), key, "left_anti")
     return kept.unionByName(last.select(*base.columns))
 
 

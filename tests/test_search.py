@@ -171,17 +171,21 @@ def test_stored_matches_give_the_same(spark, index):
     assert all_outputs(SE.search(index, r, DAY)) == all_outputs(SE.search(index, r, DAY, store_matches=True))
 
 
-def test_without_broadcast(spark, index, ask, monkeypatch):
-    """Over the row bound the salted shuffle joins give the same results."""
+def test_without_broadcast(spark, index, ask):
+    """Joins that the planner shuffles give the same results."""
     r = requests(spark, ROWS)
     sim = normalize_limits(
         spark.createDataFrame([(1, "1", None), (2, "4", "3")], "query_id INT, anchor STRING, limit STRING")
     )
     want = all_outputs(SE.search(index, r, DAY))
     similar = sorted(map(tuple, SM.similar_docs(index, sim).collect()))
-    monkeypatch.setattr(session, "BROADCAST_ROWS", -1)
-    assert all_outputs(SE.search(index, r, DAY)) == want
-    assert sorted(map(tuple, SM.similar_docs(index, sim).collect())) == similar
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert all_outputs(SE.search(index, r, DAY)) == want
+        assert sorted(map(tuple, SM.similar_docs(index, sim).collect())) == similar
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_reopened_index(spark, index, ask):
