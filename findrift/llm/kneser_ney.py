@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from findrift.llm.store import batched, folder, parts
 from findrift.llm.words import U, hashed, mix
 
-FLUSH = 4_500_000  # tokens held by a map task before their counts are sent on
+FLUSH = 2_500_000  # tokens held by a map task before their counts are sent on
 SHARE = 4  # a word with over 1 / (SHARE * ranges) of all tokens is spread: fewer than SHARE * ranges words
 BEGIN, END = U(0x42D1B0FA4E1C5A0F), U(0x9C0E1E0FD3B7A6C5)
 SHORT = U((1 << 48) - 1)  # bits of a word that a bigram keeps
