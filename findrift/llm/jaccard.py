@@ -15,9 +15,10 @@ nothing and is gone at once.
    number of pairs linear in the prefixes. Pairs are verified: the order is cut
    into FRAGMENTS, partial overlaps are counted per fragment and summed.
 4. Linked pairs give components. Pairs of a shared prefix shingle whose ends are
-   in different components, and only those, are then verified too; so groups of
-   thousands of near copies never become all their pairs, and no link between
-   components is missed. Only components are returned, so pairs inside one need
+   in different components, and only those, are then verified too, unless a
+   parity word of their shingles already shows that they differ too much; so
+   groups of thousands of near copies never become all their pairs, and no link
+   between components is missed. Only components are returned, so pairs inside one need
    not be looked at.
 
 No list is collected anywhere; every step is a join, an aggregation, or a packed
@@ -27,6 +28,8 @@ exchange whose pieces are bounded by the batch and the number of ranges.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,9 @@ from findrift.llm.words import SHINGLE, U, mix, shingles
 PERCENT = 80  # similarity: 100 * intersection >= PERCENT * union
 FRAGMENTS = 4
 LEADERS = 3
-FLUSH = 4_000_000  # shingles held by a map task before they are sent on
+BITS = 1024  # of the parity word that tells unlike sets apart
+TOKEN = U((1 << 48) - 1)  # bits of a shingle hash that are sent
+FLUSH = 1_500_000  # shingles held by a map task before they are sent on
 
 _B, _I32, _I64 = pa.binary(), pa.int32(), pa.int64()
 # kind 0: documents of a chunk (a: sizes, b: set hashes, c: ids); kind 1: shingles of a range
@@ -55,9 +60,27 @@ def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def _six(x: np.ndarray) -> bytes:
+    """48-bit numbers as six bytes each."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
+def _unsix(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _small(x: np.ndarray) -> bytes:
+    """A mark and whole numbers: two bytes each where all fit, else four (at most 2**32 - 1)."""
+    if not len(x) or x.max() < 1 << 16:
+        return b"\x02" + x.astype("<u2").tobytes()
+    return b"\x04" + np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes()
+
+
+def _unsmall(b: bytes) -> np.ndarray:
+    return np.frombuffer(b[1:], "<u2" if b[:1] == b"\x02" else "<u4").astype(np.int64)
+
+
 def _send(ranges: int, width: int):
     """Shingles of the texts by range of their hash, and a line per document."""
 
@@ -78,14 +101,13 @@ def _send(ranges: int, width: int):
             named = pa.chunked_array(ids).combine_chunks()
             where = ((chunk >> 32) + 7919 * (chunk & 0xFFFFFFFF)) & 0x7FFFFFFF
             yield (0, where, chunk, n.astype("<i8").tobytes(), sets.astype("<u8").tobytes(), _packed(named))
-            where = (g >> U(32)) * U(ranges) >> U(32)
-            order = np.lexsort((g, where))
-            ends = np.searchsorted(where[order], np.arange(ranges + 1).astype(U))
+            g = g & TOKEN
+            order = np.argsort(g, kind="stable")
+            where = (g[order] >> U(16)) * U(ranges) >> U(32)
+            ends = np.searchsorted(where, np.arange(ranges + 1).astype(U))
             for r in np.flatnonzero(np.diff(ends)).tolist():
                 cut = order[ends[r] : ends[r + 1]]
-                small = len(n) < 1 << 16
-                at = d[cut].astype("<u2" if small else "<u4").tobytes()
-                yield (1, r, chunk, g[cut].tobytes(), (b"\x02" if small else b"\x04") + at, None)
+                yield (1, r, chunk, _six(g[cut]), _small(d[cut]), None)
 
         def rows(found):
             part = []
@@ -108,6 +130,7 @@ def _send(ranges: int, width: int):
                 held, sizes, ids, total, chunk = [], [], [], 0, chunk + 1
         if sizes:
             yield from rows(out())
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -143,8 +166,8 @@ def _shared(rows: pa.Table) -> pa.Table:
     chunks = rows.column("chunk").to_pylist()
     g, d, c = [], [], []
     for k, (a, b) in enumerate(zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), strict=True)):
-        g.append(np.frombuffer(a, "<u8"))
-        d.append(np.frombuffer(b[1:], "<u2" if b[:1] == b"\x02" else "<u4").astype(np.uint32))
+        g.append(_unsix(a))
+        d.append(_unsmall(b))
         c.append(np.full(len(g[-1]), k, np.int32))
     g, d, c = np.concatenate(g), np.concatenate(d), np.concatenate(c)
     order = np.argsort(g, kind="stable")
@@ -162,19 +185,28 @@ def _shared(rows: pa.Table) -> pa.Table:
     r = rows.column("range")[0].as_py()
     for k in np.flatnonzero(np.diff(ends)).tolist():
         cut = slice(ends[k], ends[k + 1])
-        out.append((1, r, chunks[k], g[cut].tobytes(), d[cut].astype("<u4").tobytes(),
-                    np.minimum(df[cut], 0xFFFFFFFF).astype("<u4").tobytes()))
+        out.append((1, r, chunks[k], _six(g[cut]), _small(d[cut]), _small(df[cut])))
     if not out:
         return SENT.empty_table()
     return pa.Table.from_batches([_batch(out)])
 
 
-NODES = "node bigint, n bigint, before bigint, prefix int, tokens binary"
+NODES = "node bigint, n bigint, before bigint, prefix int, tokens binary, bits array<bigint>"
+
+
+def _bits(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the tokens in each of BITS places, as 64-bit words.
+
+    Where the bits of two sets differ, the sets differ: the number of differing
+    bits never exceeds the number of tokens in one set only.
+    """
+    odd = np.bincount((tokens % U(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
 def _ordered(percent: int):
     """Of one chunk: shared shingles of each document that can link, in the global order."""
-    schema = pa.schema([("node", _I64), ("n", _I64), ("before", _I64), ("prefix", _I32), ("tokens", _B)])
+    schema = pa.schema([("node", _I64), ("n", _I64), ("before", _I64), ("prefix", _I32), ("tokens", _B), ("bits", pa.list_(_I64))])
 
     def run(rows: pa.Table) -> pa.Table:
         kind = rows.column("kind").to_pylist()
@@ -184,9 +216,9 @@ def _ordered(percent: int):
         at = [i for i, x in enumerate(kind) if x == 1]
         if not at:
             return schema.empty_table()
-        g = np.concatenate([np.frombuffer(a[i], "<u8") for i in at])
-        d = np.concatenate([np.frombuffer(b[i], "<u4") for i in at]).astype(np.int64)
-        f = np.concatenate([np.frombuffer(c[i], "<u4") for i in at])
+        g = np.concatenate([_unsix(a[i]) for i in at])
+        d = np.concatenate([_unsmall(b[i]) for i in at])
+        f = np.concatenate([_unsmall(c[i]) for i in at])
         order = np.lexsort((g, f, d))
         g, d = g[order], d[order]
         ends = np.searchsorted(d, np.arange(len(n) + 1))
@@ -198,7 +230,7 @@ def _ordered(percent: int):
             if (sets[i], n[i]) not in done:  # copies in this chunk
                 done.add((sets[i], n[i]))
                 out.append((int(sets[i]), int(n[i]), int(before[i]), int(min(prefix[i], have[i])),
-                            g[ends[i] : ends[i + 1]].tobytes()))
+                            _six(g[ends[i] : ends[i + 1]]), _bits(g[ends[i] : ends[i + 1]])))
         if not out:
             return schema.empty_table()
         return pa.table([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -214,7 +246,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         node, n, before, prefix, tokens = (batch.column(i) for i in range(5))
         prefix = prefix.to_numpy().astype(np.int64)
-        lists = [np.frombuffer(t, "<i8", count=p) for t, p in zip(tokens.to_pylist(), prefix, strict=True)]
+        lists = [_unsix(t[: 6 * p]).view("<i8") for t, p in zip(tokens.to_pylist(), prefix, strict=True)]
         pos = [b + np.arange(p) for b, p in zip(before.to_numpy(), prefix, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
@@ -232,11 +264,11 @@ SEGMENTS = "node bigint, n bigint, fragment int, segment array<bigint>"
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shared shingles of each node, cut at the same places of the hash for all nodes."""
-    edges = (np.arange(1, FRAGMENTS) * ((1 << 64) // FRAGMENTS)).astype(U)
+    edges = (np.arange(1, FRAGMENTS) * ((1 << 48) // FRAGMENTS)).astype(U)
     for batch in batches:
         rows = []
         for node, n, tokens in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4)), strict=True):
-            t = np.sort(np.frombuffer(tokens, "<u8"))
+            t = np.sort(_unsix(tokens))
             for k, part in enumerate(np.split(t, np.searchsorted(t, edges))):
                 if len(part):
                     rows.append((node, n, k, part.view("<i8")))
@@ -254,6 +286,13 @@ def _may_link(percent: int):
     return (100 + percent) * bound >= percent * (F.col("n1") + F.col("n2"))
 
 
+def _differ_little(percent: int):
+    """The bits of two sets allow that they are similar: an exact bound on what is in one set only."""
+    bits = reduce(add, [F.bit_count(F.get("b1", F.lit(i)).bitwiseXOR(F.get("b2", F.lit(i)))) for i in range(BITS // 64)])
+    apart = F.col("f1") + F.col("f2") + bits  # shingles of one document only are never shared
+    return (100 + percent) * apart <= (100 - percent) * (F.col("n1") + F.col("n2"))
+
+
 def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The (u, v) of `pairs` whose sets are similar: partial overlaps per fragment, summed per pair."""
     left = segments.select(
@@ -306,8 +345,8 @@ def classes(
         back.groupBy("chunk")
         .applyInArrow(_ordered(percent), NODES)
         .groupBy("node", "n")
-        .agg(F.min(F.struct("before", "prefix", "tokens")).alias("x"))
-        .select("node", "n", "x.before", "x.prefix", "x.tokens"),
+        .agg(F.min(F.struct("before", "prefix", "tokens", "bits")).alias("x"))
+        .select("node", "n", "x.before", "x.prefix", "x.tokens", "x.bits"),
         "nodes",
     )
     lines = back.where("kind = 0").select("a", "b", "c")
@@ -337,10 +376,14 @@ def classes(
     mixed = (
         named.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("token")
     )
-    open_ = named.join(mixed, "token")
-    a = open_.select("token", F.col("node").alias("x1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("root").alias("r1"))
-    b = open_.select("token", F.col("node").alias("x2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("root").alias("r2"))
-    met = a.join(b, "token").where((F.col("x1") < F.col("x2")) & (F.col("r1") != F.col("r2")) & _may_link(percent))
+    open_ = written(named.join(mixed, "token").join(nodes.select("node", "before", "bits"), "node"), "open")
+
+    def side(k: int) -> DataFrame:
+        names = {"node": "x", "n": "n", "pos": "p", "root": "r", "before": "f", "bits": "b"}
+        return open_.select("token", *[F.col(c).alias(f"{to}{k}") for c, to in names.items()])
+
+    apart = (F.col("x1") < F.col("x2")) & (F.col("r1") != F.col("r2"))
+    met = side(1).join(side(2), "token").where(apart & _may_link(percent) & _differ_little(percent))
     more = _pairs(met).join(first, ["u", "v"], "left_anti")
     again = verified(written(more, "pairs"), segments, percent)
     all_ = written(links.unionAll(again), "links")
