@@ -3,9 +3,9 @@
 A text is cut at its blanks: between two characters that are no white space a
 blank always starts a match of the usual pre-token patterns, so the ids of the
 stretches, joined, are the ids of the text. Where a blank stands beside other
-white space the whole text is matched instead. Stretches and pre-tokens seen
-before come from two bounded tables; new pre-tokens of a batch are encoded
-together.
+white space the whole text is matched instead. Stretches (and pre-tokens, where
+these are worth keeping) seen before come from tables of bounded size; new ones
+of a batch are encoded together.
 """
 
 from __future__ import annotations
@@ -14,24 +14,29 @@ from collections.abc import Callable
 
 import regex
 
-STRETCHES = 1_200_000
-PRETOKENS = 800_000
+STRETCHES = 400_000
+PRETOKENS = 400_000
+PART = 2_000_000  # characters
 LONG = 64  # characters beyond which nothing is kept
 
 
 class _Table:
-    """A table of bounded size: when full, its older half goes."""
+    """Ids of strings; when the table is full its older half goes."""
 
-    def __init__(self, size: int):
-        self.half, self.new, self.old = max(1, size // 2), {}, {}
+    def __init__(self, many: Callable[[list[str]], list[bytes]], size: int):
+        self.many, self.half, self.new, self.old = many, max(1, size // 2), {}, {}
 
-    def get(self, key: str):
-        found = self.new.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.new[key] = found
-        return found
+    def learn(self, keys: set[str]) -> None:
+        """Make sure that `new` has every key."""
+        new, old = self.new, self.old
+        missing = keys.difference(new)
+        if old:
+            for k in missing.intersection(old):
+                new[k] = old[k]
+                missing.discard(k)
+        if missing:
+            fresh = list(missing)
+            new.update(zip(fresh, self.many(fresh), strict=True))
 
     def turn(self) -> None:
         if len(self.new) > self.half:
@@ -39,65 +44,56 @@ class _Table:
 
 
 class PieceEncoder:
-    """Encodes batches of texts; `many` gives the ids, as bytes, of a list of pre-tokens."""
+    """Encodes batches of texts; `many` gives the ids, as bytes, of a list of strings.
+
+    With `pretokens` above 0 it is called with pre-tokens, each once while in the
+    table; else with stretches of text.
+    """
 
     def __init__(self, pattern: str, many: Callable[[list[str]], list[bytes]], stretches: int = STRETCHES,
                  pretokens: int = PRETOKENS):
         self.find = regex.compile(pattern).findall
-        self.many = many
-        self.stretches, self.pretokens = _Table(stretches), _Table(pretokens)
+        self.words = _Table(many, pretokens) if pretokens else None
+        self.many = self._joined if pretokens else many
+        # a stretch is kept without the blank before it
+        self.stretches = _Table(lambda keys: self.many([" " + k for k in keys]), stretches)
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        lists = [self.find(t) for t in texts]
+        self.words.learn(set().union(*lists))
+        ids = self.words.new
+        out = [b"".join([ids[x] for x in parts]) for parts in lists]
+        self.words.turn()
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; null is empty."""
-        known = self.stretches.new
-        cut, missing, whole = [], set(), []
-        for k, text in enumerate(texts):
-            first, *rest = (text or "").split(" ")
-            ids = [known.get(p) for p in rest]
-            if None in ids:
-                missing.update([p for p, x in zip(rest, ids, strict=True) if x is None])
-            cut.append((first, rest, ids))
-        fresh: dict[str, list[str]] = {}
-        for p in missing:
-            found = self.stretches.old.get(p)
-            if found is not None:
-                known[p] = found
-            elif not p or p[0].isspace():
-                whole.append(p)
-            else:
-                fresh[p] = self.find(" " + p)
-        whole = set(whole)
-        matched, starts = {}, {}
-        for k, (first, rest, _) in enumerate(cut):
-            if whole and not whole.isdisjoint(rest):
-                matched[k] = self.find(texts[k])
-            elif first:
-                starts[k] = self.find(first)
-        self._learn([*fresh.values(), *matched.values(), *starts.values()])
-        ids_of = self.pretokens.new
-        for p, parts in fresh.items():
-            known[p] = b"".join([ids_of[x] for x in parts])
-        out = []
-        for k, (_, rest, ids) in enumerate(cut):
-            if k in matched:
-                out.append(b"".join([ids_of[x] for x in matched[k]]))
-                continue
-            if None in ids:
-                ids = [known[p] for p in rest]
-            head = b"".join([ids_of[x] for x in starts[k]]) if k in starts else b""
-            out.append(head + b"".join(ids))
+        """Ids of each text; null is empty. At most about PART characters are cut up at a time."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t or "")
+            if size >= PART:
+                out += self._encoded(part)
+                part, size = [], 0
+        return out + self._encoded(part) if part else out
+
+    def _encoded(self, texts: list[str | None]) -> list[bytes]:
+        starts, rests = [], []
+        for t in texts:
+            first, *rest = (t or "").split(" ")
+            starts.append(first)
+            rests.append(rest)
+        distinct = set().union(*rests)
+        joined = {p for p in distinct if not p or p[0].isspace()}
+        if joined:  # a blank beside white space: these texts are one stretch each
+            for k, rest in enumerate(rests):
+                if not joined.isdisjoint(rest):
+                    starts[k], rests[k] = texts[k], []
+            distinct = set().union(*rests)
+        self.stretches.learn(distinct)
+        heads = [s for s in starts if s]
+        first = iter(self.many(heads) if heads else ())
+        ids = self.stretches.new.__getitem__
+        out = [(next(first) if s else b"") + b"".join(map(ids, rest)) for s, rest in zip(starts, rests, strict=True)]
         self.stretches.turn()
-        self.pretokens.turn()
         return out
-
-    def _learn(self, lists: list[list[str]]) -> None:
-        """Put every pre-token of the lists into the table."""
-        new, old = self.pretokens.new, self.pretokens.old
-        fresh = []
-        for p in {x for parts in lists for x in parts if x not in new}:
-            if p in old:
-                new[p] = old[p]
-            else:
-                fresh.append(p)
-        if fresh:
-            new.update(zip(fresh, self.many(fresh), strict=True))
