@@ -91,6 +91,6 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id bigint, embedding array<double>, label int, node int, x int")
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in V.link(df).collect()), key=str)
     alone = {1, 2, 3, 4, 5, 6, 7, 10, 13}
-    want = [(i, 0, i, True) if i in alone else (None, 0, None, False) if label == 9 else (i, 6, 8, i == 8) for i, _, label in rows]
+    want = [(i, 0, i, True) if i in alone else (None, 0, None, False) if label == 9 else (i, 5, 8, i == 8) for i, _, label in rows]
     assert got == sorted(want, key=str)
     assert V.link(df.where("1 = 0")).count() == 0
