@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -244,16 +245,22 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def land_events(spark: SparkSession, sf: str, times: int) -> str:
-    """Events as NDJSON files in the order of their time, each slice sent `times` times."""
-    path = session.workspace(spark, "landed-events")
+def land_events(spark: SparkSession, sf: str, times: int) -> Iterator[str]:
+    """Land events as NDJSON files in the order of their time, each slice sent `times` times.
+
+    Gives the folder after each slice, so that a stream takes the slice's files
+    as one batch, however many tasks wrote them.
+    """
+    path, slices = session.workspace(spark, "landed-events"), session.workspace(spark, "event-slices")
     rows = events(spark, sf)
     first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     width = (last - first) // SLICES + 1
     at = F.floor((F.unix_micros("ts") - first) / width)
+    rows.withColumn("slice", at).write.partitionBy("slice").parquet(slices)
+    landed = spark.read.parquet(slices)
     for k in range(SLICES):
         for _ in range(times):
-            rows.where(at == k).coalesce(1).write.mode("append").option(
+            landed.where(F.col("slice") == k).drop("slice").write.mode("append").option(
                 "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
             ).json(path)
-    return path
+            yield path

@@ -452,18 +452,20 @@ def log_postings(spark, sf):
 
 @register
 def stream_log_append(spark, sf):
-    out = session.workspace(spark, "stream-logs")
-    rows = ST.read_logs(spark, B.land_events(spark, sf, 1), schemas.EVENT, files_per_batch=2)
-    ST.append_logs(rows, "ts", out, session.workspace(spark, "stream-state"), drain=True).awaitTermination()
+    out, state = session.workspace(spark, "stream-logs"), session.workspace(spark, "stream-state")
+    for path in B.land_events(spark, sf, 1):
+        rows = ST.read_logs(spark, path, schemas.EVENT)
+        ST.append_logs(rows, "ts", out, state, drain=True).awaitTermination()
     return TB.stored_or_empty(spark, out, schemas.EVENT + ", dt DATE")
 
 
 @register
 def stream_dedupe(spark, sf):
-    out = session.workspace(spark, "stream-once")
-    landed = ST.read_logs(spark, B.land_events(spark, sf, 2), schemas.EVENT, files_per_batch=1)
-    rows = ST.once_per_key(landed, "event_id", "ts", B.LOG_DELAY)
-    ST.append_logs(rows, "ts", out, session.workspace(spark, "stream-state"), drain=True).awaitTermination()
+    out, state = session.workspace(spark, "stream-once"), session.workspace(spark, "stream-state")
+    for path in B.land_events(spark, sf, 2):
+        landed = ST.read_logs(spark, path, schemas.EVENT)
+        rows = ST.once_per_key(landed, "event_id", "ts", B.LOG_DELAY)
+        ST.append_logs(rows, "ts", out, state, drain=True).awaitTermination()
     return TB.stored_or_empty(spark, out, schemas.EVENT + ", dt DATE")
 
 

@@ -4,6 +4,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from checks import bindings as B
+from checks import queries as Q
+from conftest import SF
 from findrift import schemas, session
 from findrift.functions.dates import lenient_date
 from findrift.functions.display import display_columns, runtime_text
@@ -197,3 +200,13 @@ def test_numbers_that_are_no_date(spark):
     rows = [("9223372036854775807", None), ("-9223372036854775808", None), ("951782400000", "2000-02-29"), ("99999999999999999999", None)]
     df = spark.createDataFrame(rows, "t STRING, want STRING")
     assert all(str(r.got) == str(r.want) for r in df.select("want", lenient_date(F.col("t")).alias("got")).collect())
+
+
+def test_a_slice_of_events_lands_in_parallel(spark, monkeypatch):
+    whole = B.events(spark, SF).repartition(4)
+    monkeypatch.setattr(B, "events", lambda spark, sf: whole)
+    files = [len(spark.read.json(path).inputFiles()) for path in B.land_events(spark, SF, 1)]
+    assert len(files) == B.SLICES and files[0] > 1 and files == sorted(files)
+    ids = [r.event_id for r in whole.select("event_id").distinct().collect()]
+    got = [r.event_id for r in Q.stream_dedupe(spark, SF).select("event_id").collect()]
+    assert sorted(got) == sorted(ids)
