@@ -1,4 +1,4 @@
-"""Near-duplicate classes by a set-similarity join over word shingles, partitioned vertically.
+"""Near-duplicate classes by a set-similarity join over word shingles, with vertically cut verification.
 
 The global order of shingles is (documents that hold it, hash): rare ones first.
 Two sets of Jaccard similarity t or more share a shingle among the first
@@ -12,8 +12,9 @@ nothing and is gone at once.
 2. A chunk orders the shared shingles of each document and finds its prefix.
    Equal sets are one node from here on, however many copies there are.
 3. Prefix shingles are joined with a few leaders of their list, which gives a
-   number of pairs linear in the prefixes. Pairs are verified: the order is cut
-   into FRAGMENTS, partial overlaps are counted per fragment and summed.
+   number of pairs linear in the prefixes. Pairs are verified: the range of hashes
+   (not the order) is cut evenly into FRAGMENTS, the same for all sets, partial
+   overlaps are counted per fragment and summed. Fragments make no candidates.
 4. Linked pairs give components. Pairs of a shared prefix shingle whose ends are
    in different components, and only those, are then verified too, unless a
    parity word of their shingles already shows that they differ too much; so
