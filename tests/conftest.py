@@ -5,11 +5,11 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from samples import FILMS  # noqa: E402
+
 from findrift import schemas, session  # noqa: E402
 from findrift.operators.index import build_index  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -23,35 +23,6 @@ def spark():
     return s
 
 
-def film(id, title, overview, **more):
-    row = {
-        "id": id, "title": title, "overview": overview, "release_date": "2001-12-31",
-        "vote_average": 5.0, "vote_count": 8, "popularity": 9.0, "genres": ["Drama"],
-        "runtime": 90, "budget": 0, "revenue": 0, "poster_path": "", "backdrop_path": "",
-        "original_language": "en", "tagline": "", "keywords": [], "cast": [], "director": "",
-    }
-    row.update(more)
-    row["cast"] = [
-        {"name": n, "character": "", "order": i, "profile_path": ""} for i, n in enumerate(row["cast"])
-    ]
-    return row
-
-
-FILMS = [
-    film("1", "The Quiet Harbour", "A lighthouse keeper keeps the light burning.",
-         genres=["Drama", "Drama", "Mystery"], cast=["Anna Bell", "Tower Marsh"], director="Ida Quill"),
-    film("2", "Harbour of Glass", "Glass blowers fight over a quiet town.", vote_average=7.5,
-         keywords=["glass", "rivalry"], cast=["Bell Tower"], director="Ida Quill"),
-    film("3", "Night Train", "The night train runs late; the train keeper waits.",
-         genres=["Crime"], keywords=["train"], director="Otto Reed", vote_average=None),
-    film("4", "A Train of Thought", "A late night talk about a quiet train keeper.",
-         genres=["Comedy", "Drama"], release_date="1998", popularity=None),
-    film("5", "Rivalry", "Two glass makers.", genres=["Crime", "Drama"], release_date="not-a-date",
-         keywords=["glass"], director="Otto Reed", vote_average=8.0),
-    film("6", "", "", genres=[], release_date="", director="Nobody"),
-]
-
-
 @pytest.fixture(scope="session")
 def films(spark):
     return spark.createDataFrame(FILMS, schemas.CATALOG)

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from checks import bindings as B
-from conftest import SF
+from samples import SF
 from findrift.operators import matching as M
 from findrift.operators.index import postings
 from findrift.plans import search as SE

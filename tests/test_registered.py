@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from checks.compare import compare, connect
 from checks.spec import SPEC
-from conftest import SF
+from samples import SF
 
 
 @pytest.fixture(scope="module")

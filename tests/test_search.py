@@ -78,7 +78,7 @@ def brute_phrase(tokens, words, slop):
 def test_phrases_against_brute_force(spark, seed):
     import random
 
-    from conftest import film
+    from samples import film
     from findrift import schemas
     from findrift.operators.index import build_index
 
@@ -239,7 +239,7 @@ def test_normalize_requests(spark):
 
 def test_similar_to_copies(spark):
     """Copies of a text are scored once and still left out of their own lists."""
-    from conftest import FILMS
+    from samples import FILMS
     from findrift import schemas
     from findrift.operators.index import build_index
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import bindings as B
 from checks import queries as Q
-from conftest import SF
+from samples import SF
 from findrift import schemas, session
 from findrift.functions.dates import lenient_date
 from findrift.functions.display import display_columns, runtime_text
