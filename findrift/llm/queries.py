@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findrift.llm import bpe, jaccard, kneser_ney, packing, pivots, rules, sharding, toxicity, warc, wrappers
+from findrift.llm import bpe, jaccard, kneser_ney, packing, pivots, rules, sharding, token_files, toxicity, warc, wrappers
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -100,11 +100,17 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.classes(_table(spark, sf, "documents"))
 
 
+def op12_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of the ids of all documents, read back from the files that hold them."""
+    corpus = token_files.write(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, corpus)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_quality_rules, op3_warc, op4_packing, op5_toxicity, op6_wrappers, op7_sharding, op8_kneser_ney,
-        op9_pivot_links, op10_jaccard_join,
+        op9_pivot_links, op10_jaccard_join, op12_token_files,
     )
 }
 
