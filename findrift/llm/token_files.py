@@ -9,12 +9,13 @@ parts. A part does not know what lies before it: bases come from prefix sums
 over the manifest, one row per part, which Spark's own commit writes last.
 
 Files are written under temporary names and renamed. Rows are cut into parts by
-ranges of (id, checksum, row number), so a repeated id cannot fill a part, and a
+ranges of (id, hash of the text, row number), so a repeated id cannot fill a part, and a
 repeated or doubled attempt writes the same bytes to the same name.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -25,16 +26,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findrift.llm.pieces import _Table
-from findrift.llm.store import batched, dropped, folder, written
+from findrift.llm.store import batched, folder, written
 
 END = 2
-PART_IDS = 8_000_000  # ids of a part, about
-WORDS = 300_000  # distinct words whose ids a worker keeps
+PART_BYTES = 24 << 20  # text of a part, about
+WORDS = 800_000  # distinct words, and pre-tokens, whose ids a worker keeps
 CUT = 2_000_000  # characters encoded at a time
+# printable, no white space, letters and digits that no version of Unicode has changed since
+PLAIN = regex.compile(r"[!-~\u00A1-\u052F]+").fullmatch
 SLICE = 1_000_000  # ids a reader holds at a time
 MAGIC = b"TOKIDX01"
 _HEAD = struct.Struct("<8sQQ")  # magic, bytes of an id, documents
@@ -46,22 +50,63 @@ class WordEncoder:
     White space always ends a pre-token of such a tokenizer and no rule of its
     normalizer reaches across it; equal words therefore have equal ids wherever
     they stand, and each distinct one is encoded once while it is in the table.
+    Of a word in letters whose classes are settled (PLAIN), the file's normalizer
+    and merges are applied to its distinct pre-tokens; other words go through the
+    library whole. Tests compare both ways.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
+        cut = steps[0]
+        plain = cut["type"] == "Split" and cut["behavior"] == "Removed" and cut["invert"]
+        if not plain or steps[1:] != [{**steps[1], "type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]:
+            raise ValueError("the tokenizer file does not cut words by one pattern")
         model = Tokenizer.from_file(path)
         model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole = getattr(model, "encode_batch_fast", model.encode_batch)
         self.width = 2 if model.get_vocab_size() <= 1 << 16 else 4
-        kind = f"<u{self.width}"
-        many = getattr(model, "encode_batch_fast", model.encode_batch)
-
-        def ids(words: list[str]) -> list[bytes]:
-            return [np.array(e.ids, kind).tobytes() for e in many(words, add_special_tokens=False)]
-
-        self.words = _Table(ids, WORDS)
+        self.find = regex.compile(cut["pattern"]["Regex"]).findall
+        self.normal = model.normalizer.normalize_str
+        self.merged = model.model.tokenize
+        # bytes as the file writes them: themselves where printable, else from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(shown)))}
+        self.pieces = _Table(self._merged, WORDS)
+        self.words = _Table(self._words, WORDS)
+
+    def _bytes(self, ids) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
+
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        table, merge = self.shown, self.merged
+        made = [
+            merge(x if x.isascii() else x.encode().decode("latin-1").translate(table)) for x in pieces
+        ]
+        ids = self._bytes([t.id for tokens in made for t in tokens])
+        ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made))) * self.width
+        return [ids[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if made else []
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        fits = list(map(PLAIN, words))
+        plain = [k for k, x in enumerate(fits) if x]
+        other = [k for k, x in enumerate(fits) if not x and words[k]]
+        if plain:
+            normal = self.normal(" ".join([words[k] for k in plain])).split(" ")
+            # letters only: the word is its one pre-token
+            cuts = [(w,) if w.isalpha() else self.find(w) for w in normal]
+            self.pieces.learn(set().union(*cuts))
+            of = self.pieces.new
+            for k, cut in zip(plain, cuts, strict=True):
+                out[k] = of[cut[0]] if len(cut) == 1 else b"".join([of[x] for x in cut])
+            self.pieces.turn()
+        for k, e in zip(other, self.whole([words[k] for k in other], add_special_tokens=False), strict=True):
+            out[k] = self._bytes(e.ids)
+        return out
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text, as bytes; null is empty."""
@@ -94,36 +139,6 @@ def _wide(ids: np.ndarray) -> bytes:
     return ids.astype("<u4").tobytes()
 
 
-def encoded(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, n, crc, row, ids): the ids of every text with the end id, one row per document."""
-    batched(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        encode = encoder(path)
-        last = np.array([end], f"<u{encode.width}").tobytes()
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            ids = [b + last for b in encode(batch.column(1).to_pylist())]
-            crc = [zlib.crc32(_wide(np.frombuffer(b, f"<u{encode.width}"))) for b in ids]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(b) // encode.width for b in ids], pa.int64()),
-                    pa.array(crc, pa.int64()),
-                    pa.array(range(row, row + len(ids)), pa.int64()),
-                    pa.array(ids, pa.binary()),
-                ],
-                names=["_id", "n", "crc", "row", "ids"],
-            )
-            row += len(ids)
-
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string"))
-    return rows.mapInArrow(run, f"_id {kind}, n bigint, crc bigint, row bigint, ids binary")
-
-
 @dataclass(frozen=True)
 class Corpus:
     """A written data set: its folder, bytes of an id, type of the documents' ids, parts as (part, base, docs, ids)."""
@@ -151,13 +166,12 @@ class _Part:
         self.tmp = f"{self.base}/_temporary-{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(f"{self.tmp}.bin")
 
-    def add(self, batch: pa.RecordBatch) -> None:
-        """Append documents (_id, ids) in their order."""
-        for b in batch.column(1):
-            self.out.write(b.as_buffer())
-        n = np.fromiter((b.as_buffer().size for b in batch.column(1)), np.int64, len(batch)) // self.width
+    def add(self, names: pa.Array, ids: list[bytes]) -> None:
+        """Append documents in their order."""
+        self.out.write(b"".join(ids))
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
         self.ends.append(self.ends[-1][-1] + np.cumsum(n))
-        self.names.append(batch.column(0))
+        self.names.append(names)
 
     def close(self) -> tuple[int, int, int]:
         self.out.close()
@@ -173,15 +187,16 @@ class _Part:
         return self.part, len(ends) - 1, int(ends[-1])
 
 
-def _writer(root: str, width: int) -> Callable:
+def _writer(root: str, path: str, end: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        out = None
+        encode, out = encoder(path), None
+        last = np.array([end], f"<u{encode.width}").tobytes()
         for batch in batches:
             if len(batch):
-                out = out or _Part(root, TaskContext.get().partitionId(), width)
-                out.add(batch)
+                out = out or _Part(root, TaskContext.get().partitionId(), encode.width)
+                out.add(batch.column(0), [b + last for b in encode(batch.column(1).to_pylist())])
         if out:
             part, docs, ids = out.close()
             yield pa.RecordBatch.from_arrays(
@@ -195,32 +210,33 @@ def write(
     docs: DataFrame,
     path: str,
     end: int = END,
-    part_ids: int = PART_IDS,
+    part_bytes: int = PART_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Corpus:
     """Encode all texts by the tokenizer file at `path` and write them in ascending order of id.
 
     A null or empty text is the one end id; a null id comes first; rows of one
-    id come by checksum, equal rows each keep their place; other columns are
-    ignored. An empty table gives a data set without parts.
+    id come by a hash of the text, equal rows each keep their place; other
+    columns are ignored. An empty table gives a data set without parts.
     """
     spark = docs.sparkSession
+    batched(spark)
     root = folder(spark, "tokens")
     fs, base = pafs.FileSystem.from_uri(root)
     fs.create_dir(base, recursive=True)
-    made = written(encoded(docs, path, end, id_col, text_col), "token-ids")
-    total = int(made.agg(F.sum("n")).first()[0] or 0)
-    n = max(1, -(-total // part_ids))
-    width = encoder(path).width
-    laid = made.repartitionByRange(n, "_id", "crc", "row").sortWithinPartitions("_id", "crc", "row")
-    manifest = written(laid.select("_id", "ids").mapInArrow(_writer(root, width), "part int, docs bigint, ids bigint"), "token-parts")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_t"))
+    total = int(rows.agg(F.sum(F.coalesce(F.octet_length("_t"), F.lit(0)) + 8)).first()[0] or 0)
+    n = max(1, -(-total // part_bytes))
+    key = ("_id", "_h", "_row")
+    keyed = rows.withColumn("_h", F.xxhash64("_t")).withColumn("_row", F.monotonically_increasing_id())
+    laid = keyed.repartitionByRange(n, *key).sortWithinPartitions(*key).select("_id", "_t")
+    manifest = written(laid.mapInArrow(_writer(root, path, end), "part int, docs bigint, ids bigint"), "token-parts")
     parts, before = [], 0
     for r in manifest.orderBy("part").collect():  # a row per part
         parts.append((r.part, before, r.docs, r.ids))
         before += r.ids
-    dropped(made)
-    return Corpus(root, width, docs.schema[id_col].dataType.simpleString(), tuple(parts))
+    return Corpus(root, encoder(path).width, docs.schema[id_col].dataType.simpleString(), tuple(parts))
 
 
 class Flat:

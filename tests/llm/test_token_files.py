@@ -26,7 +26,7 @@ def expected(rows, model, end=T.END):
     for i, text in rows:
         ids = np.array([*model.encode(text or "", add_special_tokens=False).ids, end], "<u4")
         made.append((i, zlib.crc32(ids.tobytes()), len(ids)))
-    made.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    made.sort(key=lambda r: (r[0] is not None, r[0] or 0))
     out, at = [], 0
     for i, crc, n in made:
         out.append((i, at, n, crc))
@@ -39,9 +39,9 @@ def found(spark, corpus):
     return sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows), key=lambda r: r[1])
 
 
-@pytest.mark.parametrize("part_ids", [T.PART_IDS, 5_000])
-def test_odd_rows(spark, odd, model, part_ids):
-    corpus = T.write(odd, PATH, part_ids=part_ids)
+@pytest.mark.parametrize("part_bytes", [T.PART_BYTES, 20_000])
+def test_odd_rows(spark, odd, model, part_bytes):
+    corpus = T.write(odd, PATH, part_bytes=part_bytes)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert found(spark, corpus) == expected(rows, model)
     assert corpus.tokens == sum(p[3] for p in corpus.parts)
@@ -50,7 +50,7 @@ def test_odd_rows(spark, odd, model, part_ids):
 def test_all_documents(spark, model):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert found(spark, T.write(docs.repartition(5), PATH, part_ids=30_000)) == expected(rows, model)
+    assert found(spark, T.write(docs.repartition(5), PATH, part_bytes=100_000)) == expected(rows, model)
 
 
 def test_empty_table(spark, none):
@@ -61,7 +61,7 @@ def test_empty_table(spark, none):
 
 def test_repeated_id_fills_many_parts(spark):
     docs = spark.createDataFrame([(5, f"text {i % 3}") for i in range(400)], "doc_id bigint, text string")
-    corpus = T.write(docs, PATH, part_ids=100)
+    corpus = T.write(docs, PATH, part_bytes=300)
     assert len(corpus.parts) > 5
     rows = found(spark, corpus)
     assert [r[1] for r in rows] == list(np.cumsum([0] + [r[2] for r in rows])[:-1])
@@ -81,6 +81,16 @@ def test_text_ids_and_slices(spark, model):
     assert fs_names == {"part-000000.bin", "part-000000.idx", "part-000000.ids"}
 
 
+def test_plain_letters_and_the_library_agree(model):
+    """Every character that is cut and merged here, alone and between letters."""
+    letters = [chr(c) for c in range(0x21, 0x530) if not chr(c).isspace()]
+    words = [f for c in letters for f in (c, f"Ab{c}c", f"{c}'S", f"1{c}\u0301")]
+    got = list(T.encoder(PATH)(words))
+    want = model.encode_batch(words, add_special_tokens=False)
+    assert [np.frombuffer(b, "<u2").tolist() for b in got] == [e.ids for e in want]
+    assert sum(T.PLAIN(w) is not None for w in words) > 5000
+
+
 def test_words_stand_alone(model):
     texts = ["á é\ńx", "ΟΔΟΣ ΣΑΣ", "it's the end\x85now \x1c tail", "<|endoftext|> <|startoftext|>x", "  ", "İx I"]
     got = [np.frombuffer(b, "<u2").tolist() for b in T.encoder(PATH)(texts)]
