@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findrift.llm import bpe, jaccard, kneser_ney, packing, pivots, rules, sharding, token_files, toxicity, warc, wrappers
+from findrift.llm import bpe, collocations, jaccard, kneser_ney, packing, pivots, rules, sharding, token_files, toxicity, warc, wrappers
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -100,6 +100,11 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.classes(_table(spark, sf, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The best 2000 phrases of two and three words of each language."""
+    return collocations.mine(_table(spark, sf, "documents"))
+
+
 def op12_token_files(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of the ids of all documents, read back from the files that hold them."""
     corpus = token_files.write(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -110,7 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_quality_rules, op3_warc, op4_packing, op5_toxicity, op6_wrappers, op7_sharding, op8_kneser_ney,
-        op9_pivot_links, op10_jaccard_join, op12_token_files,
+        op9_pivot_links, op10_jaccard_join, op11_collocations, op12_token_files,
     )
 }
 
@@ -214,6 +219,41 @@ from documents d left join n using (doc_id) join (select id, min(c) as c from r
 """
 
 
+_OP11 = r"""
+with
+p as (
+  select lang, row_number() over () as r, unnest(string_split_regex(t, '[.,;:!?\n-\r]')) as t
+  from (select coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)),
+w as (select lang, list_filter(string_split_regex(t, '[ \t]+'), lambda x: x <> '') as w from p),
+u as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
+s as (
+  select lang, w[i] as w1, w[i + 1] as w2, w[i + 2] as w3, len(w) - i + 1 as m from u),
+g as (
+  select lang, 1 as k, w1 as g, count(*) as f from s group by all
+  union all select lang, 2, w1 || ' ' || w2, count(*) from s where m > 1 group by all
+  union all select lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) from s where m > 2 group by all),
+n as (select lang, sum(f)::bigint as n from g where k = 1 group by lang),
+c as (select lang, k, g, f as a, string_split(g, ' ') as w from g where k > 1 and f >= 10),
+z as (
+  select lang, g, a, 1 as cut, w[1] as x, array_to_string(w[2:], ' ') as y from c
+  union all select lang, g, a, 2, w[1] || ' ' || w[2], w[3] from c where k = 3),
+t as (
+  select z.lang, z.g, z.a, cut, l.f as l, r.f as r, (1000000::hugeint * z.a * z.a) // (l.f::hugeint * r.f) as score
+  from z join g l on l.lang = z.lang and l.g = z.x join g r on r.lang = z.lang and r.g = z.y),
+b as (select * from t qualify row_number() over (partition by lang, g order by score, cut) = 1),
+h as (
+  select lang, h, max(a) as a from (
+    select lang, w[1] || ' ' || w[2] as h, a from c where k = 3
+    union all select lang, w[2] || ' ' || w[3], a from c where k = 3) group by all),
+q as (
+  select b.lang, b.g as phrase, b.a, l, r, score from b left join h on h.lang = b.lang and h.h = b.g
+  where h.a is null or 100 * h.a < 50 * b.a),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from q)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from o join n using (lang) where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that have one; the others are tested against brute force."""
     return {
@@ -221,4 +261,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc": _OP3,
         "op9_pivot_links": _OP9,
         "op10_jaccard_join": _OP10,
+        "op11_collocations": _OP11,
     }
