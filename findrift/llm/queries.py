@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findrift.llm import bpe, collocations, jaccard, kneser_ney, packing, pivots, rules, sharding, token_files, toxicity, warc, wrappers
+from findrift.llm import bpe, collocations, jaccard, kneser_ney, packing, pivots, repair, rules, sharding, token_files, toxicity, warc, wrappers
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -111,11 +111,16 @@ def op12_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read(spark, corpus)
 
 
+def op13_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """The cheapest repairs of all conversations after damage."""
+    return repair.audit_damaged(_table(spark, sf, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_quality_rules, op3_warc, op4_packing, op5_toxicity, op6_wrappers, op7_sharding, op8_kneser_ney,
-        op9_pivot_links, op10_jaccard_join, op11_collocations, op12_token_files,
+        op9_pivot_links, op10_jaccard_join, op11_collocations, op12_token_files, op13_repair,
     )
 }
 
