@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -82,22 +83,24 @@ class WordEncoder:
         return np.array(ids, f"<u{self.width}").tobytes()
 
     def _merged(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pre-tokens by the file's merges."""
         table, merge = self.shown, self.merged
-        made = [
-            merge(x if x.isascii() else x.encode().decode("latin-1").translate(table)) for x in pieces
-        ]
+        made = [merge(x if x.isascii() else x.encode().decode("latin-1").translate(table)) for x in pieces]
         ids = self._bytes([t.id for tokens in made for t in tokens])
-        ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made))) * self.width
-        return [ids[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if made else []
+        ends = list(accumulate(map(len, made), initial=0))
+        return [ids[self.width * i : self.width * j] for i, j in pairwise(ends)]
 
     def _words(self, words: list[str]) -> list[bytes]:
+        # ASCII letters are one pre-token, and their normal form is lower case
+        letters = [k for k, w in enumerate(words) if w.isascii() and w.isalpha()]
+        rest = [k for k, w in enumerate(words) if w and not (w.isascii() and w.isalpha())]
+        plain = [k for k in rest if PLAIN(words[k])]
+        other = [k for k in rest if not PLAIN(words[k])]
         out: list[bytes] = [b""] * len(words)
-        fits = list(map(PLAIN, words))
-        plain = [k for k, x in enumerate(fits) if x]
-        other = [k for k, x in enumerate(fits) if not x and words[k]]
+        for k, ids in zip(letters, self._merged([words[k].lower() for k in letters]), strict=True):
+            out[k] = ids
         if plain:
             normal = self.normal(" ".join([words[k] for k in plain])).split(" ")
-            # letters only: the word is its one pre-token
             cuts = [(w,) if w.isalpha() else self.find(w) for w in normal]
             self.pieces.learn(set().union(*cuts))
             of = self.pieces.new
