@@ -87,7 +87,7 @@ def edge_ngrams(spark, sf):
 
 @register
 def autocomplete(spark, sf):
-    return LK.autocomplete(B.index(spark, sf).docs, B.keyword_queries(spark, sf), 10)
+    return LK.autocomplete(B.index(spark, sf), B.keyword_queries(spark, sf), 10)
 
 
 @register

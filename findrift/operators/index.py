@@ -4,6 +4,11 @@
 (query, document), so with this layout the joins with query terms and all
 aggregations run where the data lies, and a term that occurs in most documents
 is spread over all buckets instead of falling into one task.
+
+Inside a bucket `postings` are cut by field and by a hash range of the term
+(`term_range`), which are partition columns: a join with a few terms reads their
+ranges only, by dynamic partition pruning. `prefixes` holds the prefixes of title
+words with their documents and is cut into ranges as well.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ import dataclasses
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findrift.functions.dates import lenient_date
@@ -23,6 +28,13 @@ ROW_GROUP = 32 * 1024 * 1024
 # Input per bucket.
 BUCKET_BYTES = 512 * 1024 * 1024
 
+# Hash ranges of the terms of a field, and of prefixes. A join with few terms
+# reads their ranges; a bucket's file per field and range stays large enough to be read in one go.
+RANGES = 16
+
+# Partition columns of the postings.
+CUT = ("field", "term_range")
+
 
 @dataclasses.dataclass(frozen=True)
 class Index:
@@ -34,6 +46,7 @@ class Index:
     postings: DataFrame
     vocab: DataFrame
     field_stats: DataFrame
+    prefixes: DataFrame
 
     @property
     def spark(self) -> SparkSession:
@@ -79,19 +92,42 @@ def buckets_for(input_bytes: int, cores: int) -> int:
     return max(cores, math.ceil(input_bytes / BUCKET_BYTES))
 
 
-def _bucketed(df: DataFrame, path: str, buckets: int, *sort: str) -> DataFrame:
-    """Write rows that already lie by id in `buckets` partitions: one file per bucket."""
+def range_of(key: Column) -> Column:
+    """The hash range that a term or key lies in."""
+    return F.pmod(F.xxhash64(key), F.lit(RANGES)).cast("int")
+
+
+def with_range(rows: DataFrame, key: str) -> DataFrame:
+    """The asked side of a join with a table cut into ranges.
+
+    The filter drops nothing: it marks this side as one that selects, without
+    which the planner does not derive a pruning of the other side from it.
+    """
+    return rows.withColumn("term_range", range_of(F.col(key))).where(F.col(key) >= "")
+
+
+def prefix_keys(docs: DataFrame) -> DataFrame:
+    """(term_range, gram, id): every distinct prefix of a word of a title."""
+    grams = analysis.title_grams(docs).select("gram", "id").distinct()
+    return grams.withColumn("term_range", range_of(F.col("gram")))
+
+
+def _by_range(df: DataFrame, path: str, n: int, key: str) -> DataFrame:
+    """Write a look-up table by range, each sorted by its key; a range with many rows is several files."""
+    spark = df.sparkSession
+    split = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(max(1, n // RANGES)))
+    df.repartition(n, "term_range", split).sortWithinPartitions("term_range", key).write.partitionBy("term_range").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _bucketed(df: DataFrame, path: str, buckets: int, *sort: str, cut: tuple[str, ...] = ()) -> DataFrame:
+    """Write rows that already lie by id in `buckets` partitions: one file per bucket, and per value of `cut`."""
     name = f"findrift_{uuid.uuid4().hex}"
     conf = df.sparkSession.conf  # Spark refuses more buckets than this setting names
     if buckets > int(conf.get("spark.sql.sources.bucketing.maxBuckets")):
         conf.set("spark.sql.sources.bucketing.maxBuckets", str(buckets))
-    (
-        df.write.bucketBy(buckets, "id")
-        .sortBy(*sort)
-        .option("path", path)
-        .option("parquet.block.size", ROW_GROUP)
-        .saveAsTable(name)
-    )
+    out = df.write.bucketBy(buckets, "id").sortBy(*sort).option("path", path).option("parquet.block.size", ROW_GROUP)
+    (out.partitionBy(*cut) if cut else out).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -105,7 +141,8 @@ def build_index(catalog: DataFrame, path: str, buckets: int | None = None) -> In
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = _bucketed(by_id(index_docs(catalog), n), f"{path}/docs", n, "id")
     # read back by bucket, the documents unfold into postings without another shuffle
-    post = _bucketed(postings(docs), f"{path}/postings", n, "field", "term")
+    ranged = postings(docs).withColumn("term_range", range_of(F.col("term")))
+    post = _bucketed(ranged, f"{path}/postings", n, "term", cut=CUT)
     # a fixed number of files, so that reading it back is as parallel as the postings
     vocab(post).repartition(n, "field", "term").sortWithinPartitions("field", "term").write.parquet(
         f"{path}/vocab"
@@ -115,18 +152,22 @@ def build_index(catalog: DataFrame, path: str, buckets: int | None = None) -> In
         path, n, docs, post,
         spark.read.parquet(f"{path}/vocab"),
         spark.read.parquet(f"{path}/field_stats"),
+        _by_range(prefix_keys(docs), f"{path}/prefixes", n, "gram"),
     )
 
 
-def _reopen(spark: SparkSession, path: str, buckets: int, sort: str) -> DataFrame:
+def _reopen(spark: SparkSession, path: str, buckets: int, sort: str, cut: str = "") -> DataFrame:
     name = f"findrift_{uuid.uuid4().hex}"
     cols = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields
     )
+    parted = f"PARTITIONED BY ({cut})" if cut else ""
     spark.sql(
-        f"CREATE TABLE {name} ({cols}) USING parquet "
+        f"CREATE TABLE {name} ({cols}) USING parquet {parted} "
         f"CLUSTERED BY (id) SORTED BY ({sort}) INTO {buckets} BUCKETS LOCATION '{path}'"
     )
+    if cut:
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
     return spark.table(name)
 
 
@@ -135,7 +176,6 @@ def open_index(spark: SparkSession, path: str, buckets: int) -> Index:
     return Index(
         path, buckets,
         _reopen(spark, f"{path}/docs", buckets, "id"),
-        _reopen(spark, f"{path}/postings", buckets, "field, term"),
-        spark.read.parquet(f"{path}/vocab"),
-        spark.read.parquet(f"{path}/field_stats"),
+        _reopen(spark, f"{path}/postings", buckets, "term", ", ".join(CUT)),
+        *(spark.read.parquet(f"{path}/{t}") for t in ("vocab", "field_stats", "prefixes")),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from findrift import session
 from findrift.functions import text as T
-from findrift.operators.analysis import title_grams
+from findrift.operators.index import Index, with_range
 from findrift.operators.paging import top_per_key
 
 
@@ -24,18 +24,17 @@ def lookup_by_id(ids: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def autocomplete(docs: DataFrame, queries: DataFrame, size: int) -> DataFrame:
+def autocomplete(index: Index, queries: DataFrame, size: int) -> DataFrame:
     """Best `size` titles per query by number of query words that begin a title word.
 
-    The query side is split and lower-cased only; the prefixes are on the
-    title side: (query_id, rank, id, score).
+    The query side is split and lower-cased only; the prefixes of the titles
+    are stored with the index, once per document, and looked up by their range:
+    (query_id, rank, id, score).
     """
     words = F.explode(T.words(F.col("query"))).alias("gram")
     wanted = session.stash(queries.select("query_id", words).distinct(), "prefix-words")
-    # documents lie by id, so counting distinct words needs no shuffle
     counted = (
-        title_grams(docs).join(wanted, "gram")
-        .groupBy("query_id", "id", "gram").agg(F.count(F.lit(1)).alias("n"))
+        index.prefixes.join(with_range(wanted, "gram"), ["term_range", "gram"])
         .groupBy("query_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     )
     return top_per_key(counted, "query_id", size).select("query_id", "rank", "id", "score")

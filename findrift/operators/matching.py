@@ -23,7 +23,7 @@ from findrift.functions import scoring as S
 from findrift.functions import text as T
 from findrift.operators.analysis import ANALYSED, EXACT
 from findrift.operators.fuzzy import fuzzy_expand
-from findrift.operators.index import Index
+from findrift.operators.index import CUT, Index, with_range
 
 # Clause numbers in the coefficient table.
 BEST, CROSS, CROSS_EXACT, TERM = 1, 2, 3, 4
@@ -169,8 +169,9 @@ def term_coefs(asked: Asked) -> DataFrame:
 
 
 def join_postings(index: Index, rows: DataFrame, *more: str) -> DataFrame:
-    """Postings of the (field, term) pairs in a stored table `rows`."""
-    return index.postings.select("id", "field", "term", "tf", "dl", *more).join(rows, ["field", "term"])
+    """Postings of the (field, term) pairs in a stored table `rows`; ranges without any are not read."""
+    cut = index.postings.select("id", *CUT, "term", "tf", "dl", *more)
+    return cut.join(with_range(rows, "term"), [*CUT, "term"]).drop("term_range")
 
 
 def clause_scores(index: Index, coefs: DataFrame) -> DataFrame:
@@ -354,7 +355,9 @@ def bool_should(
     """(query_id, id, score): all clauses of the keyword query, scores added.
 
     Each branch is reduced to one row per (query, document) where the postings
-    lie; the only shuffle brings those rows together by document.
+    lie. A document that matches a phrase matches a word of it, so phrases are
+    joined onto the other clauses, and nothing moves; a session that demands all
+    keys of a join to be keys of the layout brings the rows together by document.
     """
     asked = ask(index, queries)
     coefs = reduce(
@@ -365,6 +368,11 @@ def bool_should(
     total = F.coalesce("best", zero) + F.coalesce("cross", zero) + F.coalesce("term", zero)
     plain = clause_scores(index, coefs).select("query_id", "id", total.alias("score"))
     phrases = phrase_occurrences(asked, EXACT_PHRASES | LOOSE_PHRASES)
+    if index.spark.conf.get(session.JOIN_BY_ALL_KEYS, "true") == "false":
+        added = phrases.groupBy("query_id", "id").agg(F.sum("score").alias("phrases"))
+        return plain.join(added, ["query_id", "id"], "left").select(
+            "query_id", "id", (F.col("score") + F.coalesce("phrases", zero)).alias("score")
+        )
     return (
         plain.unionByName(phrases.select("query_id", "id", "score"))
         .repartition(index.buckets, "id")

@@ -83,11 +83,10 @@ def similar_docs(index: Index, requests: DataFrame) -> DataFrame:
     )
     candidates = session.stash(join_postings(index, rare).select("sig", "id").distinct(), "similar-candidates")
     part = F.col("coef") * S.saturation(F.col("tf"), F.col("dl"), F.col("avg_len"))
+    # only the chosen terms' postings are looked at, and of these only the candidates'
     scored = (
-        index.postings.select("id", "field", "term", "tf", "dl")
-        .where(F.col("field").isin(*FIELDS))
-        .join(candidates, "id")
-        .join(rows.drop("df"), ["sig", "field", "term"])
+        join_postings(index, rows.drop("df"))
+        .join(candidates, ["sig", "id"], "left_semi")
         .groupBy("sig", "id", "needed")
         .agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("found"))
         .where(F.col("found") >= F.col("needed"))

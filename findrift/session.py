@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Rows of a (query, document) join stay with their document's bucket if this is false.
+JOIN_BY_ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
 _local_root: str | None = None
 
 
@@ -24,6 +27,7 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
         b.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config(JOIN_BY_ALL_KEYS, "false")
         # stream state of many keys is kept on disk, not on the heap
         .config(
             "spark.sql.streaming.stateStore.providerClass",
