@@ -530,6 +530,11 @@ FINAL: dict[str, str] = {
         "select u.id, u.title, coalesce(u.popularity, 0) popularity, coalesce(u.director, '') director "
         "from usable u join export e on e.id = u.id where e.popularity > 0"
     ),
+    "load_tallies": (
+        "select wanted, loaded, wanted - loaded skipped from "
+        "(select count(*) wanted from export where popularity > 0), "
+        "(select count(*) loaded from usable u join export e on e.id = u.id where e.popularity > 0)"
+    ),
     "upsert_by_id": (
         "select id, title, director from delta2 union all "
         "select id, title, director from catalog where id not in (select id from delta2)"

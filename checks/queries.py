@@ -368,12 +368,19 @@ def ids_join_detail(spark, sf):
     return loaded.unionByName(skipped)
 
 
+def _load(spark, sf):
+    out = session.workspace(spark, "catalog")
+    return load_catalog(spark, B.write_exports(spark, sf), B.write_details(spark, sf), out, B.AS_OF)
+
+
 @register
 def catalog_refresh(spark, sf):
-    out = session.workspace(spark, "catalog")
-    return load_catalog(
-        spark, B.write_exports(spark, sf), B.write_details(spark, sf), out, B.AS_OF
-    ).catalog
+    return _load(spark, sf).catalog
+
+
+@register
+def load_tallies(spark, sf):
+    return _load(spark, sf).tallies
 
 
 @register

@@ -65,6 +65,7 @@ SPEC = {
     "reject_error_docs": "id:i reason:s status_code:i",
     "ids_join_detail": "id:i loaded:b title:s",
     "catalog_refresh": "id:s title:s popularity:f director:s",
+    "load_tallies": "wanted:i loaded:i skipped:i",
     "upsert_by_id": "id:i title:s director:s",
     "append_generated_id": "id:s event_id:i",
     "bulk_pairs_sink": "value:s",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findrift import schemas
+from findrift.operators.paging import best_rows
 
 LOOK_BACK_DAYS = 7
 MAX_IDS = 100_000
@@ -42,9 +43,5 @@ def latest_snapshot(
 def top_popular_ids(export: DataFrame, limit: int = MAX_IDS) -> DataFrame:
     """Ids with a positive popularity, most popular first, up to `limit`."""
     pop = F.coalesce("popularity", F.lit(0.0))
-    return (
-        export.select("id", pop.alias("popularity"))
-        .where(F.col("popularity") > 0)
-        .orderBy(F.desc("popularity"), F.asc("id"))
-        .limit(limit)
-    )
+    known = export.select("id", pop.alias("popularity")).where(F.col("popularity") > 0)
+    return best_rows(known, "popularity", "id", limit)

@@ -11,6 +11,7 @@ from findrift import schemas, session
 from findrift.functions.dates import lenient_date
 from findrift.functions.display import display_columns, runtime_text
 from findrift.operators.requests import normalize_limits, normalize_requests
+from findrift.operators.paging import best_rows
 from findrift.plans.catalog_load import load_catalog
 from findrift.sources import bulk as BK
 from findrift.sources import details as D
@@ -210,3 +211,22 @@ def test_a_slice_of_events_lands_in_parallel(spark, monkeypatch):
     ids = [r.event_id for r in whole.select("event_id").distinct().collect()]
     got = [r.event_id for r in Q.stream_dedupe(spark, SF).select("event_id").collect()]
     assert sorted(got) == sorted(ids)
+
+
+@pytest.mark.parametrize("scores", ["distinct", "equal", "two", "skewed", "few"])
+@pytest.mark.parametrize("limit", [0, 1, 7, 250, 999, 5000])
+def test_best_rows_without_a_merge(spark, scores, limit):
+    value = {
+        "distinct": "(id * 7919) % 1000 / 3", "equal": "2.5D", "two": "if(id % 10 = 0, 9.0D, 1.0D)",
+        "skewed": "if(id < 3, pow(10, 12 - id), id % 5 / 1e6)", "few": "cast(id % 4 as double)",
+    }[scores]
+    df = spark.range(0, 1000, 1, 7).selectExpr("id", f"cast({value} as double) as score")
+    rows = sorted(((r.score, r.id) for r in df.collect()), key=lambda r: (-r[0], r[1]))
+    got = [(r.score, r.id) for r in best_rows(df, "score", "id", limit).collect()]
+    assert sorted(got, key=lambda r: (-r[0], r[1])) == rows[:limit]
+
+
+def test_best_rows_plan(spark):
+    df = best_rows(spark.range(1000).selectExpr("id", "1D as score"), "score", "id", 10)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in text and "GlobalLimit" not in text and "SinglePartition" not in text
