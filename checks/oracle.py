@@ -460,8 +460,8 @@ FINAL: dict[str, str] = {
         "(select query_id, count(*) n from kept group by query_id) using (query_id)"
     ),
     "similar_docs": (
-        "select query_id, anchor, rank, id, score from sreq join sim using (anchor) "
-        'where rank <= "limit"'
+        "select query_id, anchor, rank, s.id, score, title, genres, vote_average, release_date "
+        'from sreq join sim s using (anchor) join catalog c on c.id = s.id where rank <= "limit"'
     ),
     "filter_genres_any": (
         f"select m.query_id, m.id from matched m join t using (query_id) join q using (query_id) where {_GENRE_OK}"
@@ -547,6 +547,10 @@ FINAL: dict[str, str] = {
         "select '{\"index\":{\"_index\":\"catalog\",\"_id\":\"' || id || '\"}}' as value from catalog "
         "union all select cast(to_json({'title': title, 'genres': genres, 'vote_count': vote_count}) as varchar) from catalog"
     ),
+    "bulk_auto_ids": (
+        "select '{\"index\":{}}' as value from events union all select cast(to_json("
+        "{'event_id': event_id, 'user_id': user_id, 'event_type': event_type}) as varchar) from events"
+    ),
     "bulk_pairs_scan": "select id, title, overview, genres, vote_count, popularity from catalog",
     "bulk_outcome": (
         "select count(*) as items, count(*) filter (event_type <> 'error') indexed, "

@@ -217,7 +217,9 @@ def facet_genres(spark, sf):
 
 @register
 def similar_docs(spark, sf):
-    return SM.similar_docs(B.index(spark, sf), B.similar_requests(spark, sf))
+    return SM.similar_docs(
+        B.index(spark, sf), B.similar_requests(spark, sf), "title", "genres", "vote_average", "release_date"
+    )
 
 
 # --- filters, lookups, facets ----------------------------------------------
@@ -417,6 +419,14 @@ def bulk_pairs_sink(spark, sf):
     return spark.read.text(path)
 
 
+@register
+def bulk_auto_ids(spark, sf):
+    """Log rows as bulk files without ids, which the reader of the files assigns."""
+    path = session.workspace(spark, "bulk")
+    BK.write_bulk_pairs(B.events(spark, sf).select("event_id", "user_id", "event_type"), path)
+    return spark.read.text(path)
+
+
 @register
 def bulk_pairs_scan(spark, sf):
     path = session.workspace(spark, "bulk")

@@ -31,7 +31,9 @@ SPEC = {
     "search_page": "query_id:i rank:i id:i score:f",
     "search_cumulative": "query_id:i rank:i id:i score:f",
     "search_totals": "query_id:i total:i has_more:b",
-    "similar_docs": "query_id:i anchor:i rank:i id:i score:f",
+    "similar_docs": (
+        "query_id:i anchor:i rank:i id:i score:f title:s genres:l vote_average:f release_date:s"
+    ),
     # filters, lookups, facets
     "filter_genres_any": "query_id:i id:i",
     "filter_rating_range": "query_id:i id:i",
@@ -69,6 +71,7 @@ SPEC = {
     "upsert_by_id": "id:i title:s director:s",
     "append_generated_id": "id:s event_id:i",
     "bulk_pairs_sink": "value:s",
+    "bulk_auto_ids": "value:s",
     "bulk_pairs_scan": "id:i title:s overview:s genres:l vote_count:i popularity:f",
     "bulk_outcome": "items:i indexed:i without_error:i failed:i",
     "table_count": "name:s rows:i",

@@ -44,8 +44,8 @@ def telling_terms(index: Index, anchors: DataFrame) -> DataFrame:
     )
 
 
-def similar_docs(index: Index, requests: DataFrame) -> DataFrame:
-    """(query_id, anchor, rank, id, score) for requests (query_id, anchor, limit).
+def similar_docs(index: Index, requests: DataFrame, *columns: str) -> DataFrame:
+    """(query_id, anchor, rank, id, score, columns) for requests (query_id, anchor, limit).
 
     A document must have at least 30 % of the chosen terms; the anchor itself
     is left out; there are no signals. Anchors with the same chosen terms, such
@@ -100,8 +100,12 @@ def similar_docs(index: Index, requests: DataFrame) -> DataFrame:
         .where(F.col("id") != F.col("anchor"))
         .withColumn("rank", F.row_number().over(order))
     )
-    return (
+    found = (
         requests.join(ranked, "anchor")
         .where(F.col("rank") <= F.col("limit"))
         .select("query_id", "anchor", "rank", "id", "score")
     )
+    if not columns:
+        return found
+    # documents come last: only rows of the result meet them
+    return found.join(index.docs.select("id", *columns), "id").select(*found.columns, *columns)
