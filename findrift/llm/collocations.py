@@ -37,7 +37,7 @@ SCALE = 1_000_000
 KEPT_SHARE = 50  # a phrase goes if a longer one has this share, in percent, of its count
 BLOCK = 2_000_000  # words of a block of codes
 RANGE = 4_000_000  # words of the corpus per range of a sieve
-TRIE = 1_000_000  # phrases of a trie, about
+TRIE = 300_000  # phrases of a trie, about
 LEXICON = 1_000_000  # words of a file of the lexicon, about
 UNKNOWN = "und"
 
@@ -333,15 +333,12 @@ def _builder(digits: int) -> Callable[[pa.Table], pa.Table]:
     def run(rows: pa.Table) -> pa.Table:
         phrases = np.stack([rows.column(f"c{j}").to_numpy() for j in (1, 2, 3)], axis=1).astype(np.int64)
         base, check, state = build_trie(phrases, digits)
-        n = len(phrases)
+        n, whole = len(phrases), pa.nulls(1, pa.int64())
+        numbers = [pa.concat_arrays([pa.array(x), whole]) for x in (state, *(np.ascontiguousarray(phrases[:, j]) for j in range(3)))]
+        none = pa.nulls(n, pa.binary())
+        arrays = [pa.concat_arrays([none, pa.array([x.tobytes()], pa.binary())]) for x in (base, check)]
         shard = pa.array(np.full(n + 1, rows.column("shard")[0].as_py(), np.int32))
-        codes = [pa.array([*phrases[:, j].tolist(), None], pa.int64()) for j in range(3)]
-        return pa.table({
-            "shard": shard, "state": pa.array([*state.tolist(), None], pa.int64()),
-            "c1": codes[0], "c2": codes[1], "c3": codes[2],
-            "base": pa.array([*[None] * n, base.tobytes()], pa.binary()),
-            "check": pa.array([*[None] * n, check.tobytes()], pa.binary()),
-        })
+        return pa.table([shard, *numbers, *arrays], names=["shard", "state", "c1", "c2", "c3", "base", "check"])
 
     return run
 
