@@ -35,7 +35,7 @@ LONGEST = 3
 TOP = 2000
 SCALE = 1_000_000
 KEPT_SHARE = 50  # a phrase goes if a longer one has this share, in percent, of its count
-BLOCK = 2_000_000  # words of a block of codes
+BLOCK = 500_000  # words of a block of codes
 RANGE = 4_000_000  # words of the corpus per range of a sieve
 TRIE = 300_000  # phrases of a trie, about
 LEXICON = 1_000_000  # words of a file of the lexicon, about
