@@ -1,24 +1,27 @@
 """Main text of web pages by templates inferred per host.
 
-The template of a host is what all its pages share. A first pass finds the names
-(class, id, role, item property) that an element bears on every page, so that
-slugs and categories do not tell paths apart, and whether at least CONSTANT pages
-differ in what they say. A second pass finds the texts that every page has at
-one and the same path, as (path, digest of the whole text). Both are
-intersections: tasks meet the pages they hold, a tree of steps meets the tasks'
-rows, and no row is larger than one page of its host, however many pages there
-are and however they differ.
+The template of a host is a union-free expression over the tags and texts of its
+pages: elements in order, some optional, some repeated, with text slots. It is
+inferred by alignment. Where the streams of two pages differ, neighbours that
+repeat become a repeated group, an element that only one side has becomes
+optional, and a text that differs becomes a slot.
+
+1. Names (class, id, role, item property) that at least half of a host's pages
+   bear are counted; slugs and categories do not tell elements apart.
+2. Each task gathers its pages by structure. Pages of one structure differ in
+   texts only; every text keeps a majority vote. The structures are then aligned
+   pair by pair in a balanced tree, in the task and across tasks. An element that
+   less than one in KEEP of the pages bear is dropped from the wrapper, so it never holds more
+   than KEEP times an average page, and one odd page changes nothing.
+3. Texts that the wrapper gives outside of repeated groups are counted exactly,
+   over pages that differ in what they say: such a text is the template's if at least
+   SHARE percent of the pages with an element at its place say it, half
+   of the host's pages do, and CONSTANT pages do.
 
 A page then gives its main text by this rule: texts inside menus, headers,
 footers, sidebars, notices, adverts, forms and comments are not, the template's
 own texts are not, and where a page marks its article, only texts inside it are,
 all of them. Where nothing is marked, all that is left is main text.
-
-For a few pages, `shape` and `align` write the template out as a union-free
-expression over tags and texts: elements in order, some optional, some repeated,
-with text slots. Where the streams of two pages differ, neighbours that repeat
-become a repeated group, an element that only one side has becomes optional, and
-a text that differs becomes a slot.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -37,11 +41,13 @@ from pyspark.sql import functions as F
 
 from findrift.llm.store import batched, written
 
-HOSTS = 2000  # hosts held by a map task before they are sent on
-ITEMS = 500_000  # names or texts held by a map task before they are sent on
+ITEMS = 300_000  # names, or elements and texts, held by a map task before they are sent on
 FAN = 64  # groups of a host's rows in the second step
 SHOWN = 40  # characters of a text that a wrapper shows; its digest stands for the whole
 CONSTANT = 3  # pages of different text that must agree before a text counts as template
+SHARE = 90  # percent of the pages with an element at its place that say a text of the template
+KEEP = 8  # an element on fewer than one in KEEP pages leaves the wrapper
+LEVELS = 100  # depth of a wrapper; texts in deeper elements are never template
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -85,18 +91,17 @@ _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
 class Node:
-    """An element of a page or wrapper; `kids` are nodes and texts in order.
+    """An element of a page or wrapper; `kids` are nodes and texts in order, `seen` the pages that have it.
 
-    The root of a wrapper counts its pages and holds digests of up to CONSTANT
-    different page texts (`prints`).
+    The root of a wrapper holds digests of up to CONSTANT different page texts (`prints`).
     """
 
-    __slots__ = ("tag", "name", "kids", "many", "maybe", "pages", "prints")
+    __slots__ = ("tag", "name", "kids", "many", "maybe", "seen", "prints")
 
-    def __init__(self, tag: str, name: str = "", kids=None, many=False, maybe=False, pages=0, prints=frozenset()):
+    def __init__(self, tag: str, name: str = "", kids=None, many=False, maybe=False, seen=1, prints=frozenset()):
         self.tag, self.name, self.kids = tag, name, [] if kids is None else kids
         self.many, self.maybe = many, maybe
-        self.pages, self.prints = pages, prints
+        self.seen, self.prints = seen, prints
 
     @property
     def key(self) -> tuple[str, str]:
@@ -104,14 +109,34 @@ class Node:
 
 
 class Text:
-    """A text of a page, or of a wrapper: digest and beginning, both None for a slot; its length and pages seen."""
+    """A text of a page or wrapper: what most of its `seen` pages say, by digest and beginning, and its `votes`.
+
+    Votes are those for the text less those against it. A text that more than half of the pages say is
+    never voted out, in whatever order they are met; with fewer votes than pages, the place is a slot.
+    """
 
-    __slots__ = ("string", "size", "seen", "maybe", "digest")
+    __slots__ = ("shown", "seen", "votes", "maybe", "digest")
 
     key = ("#", "")
 
-    def __init__(self, string: str | None, size: int, seen: int = 1, maybe: bool = False, digest: str | None = None):
-        self.string, self.size, self.seen, self.maybe, self.digest = string, size, seen, maybe, digest
+    def __init__(self, shown: str, digest: str, seen: int = 1, votes: int = 1, maybe: bool = False):
+        self.shown, self.digest, self.seen, self.votes, self.maybe = shown, digest, seen, votes, maybe
+
+    @property
+    def string(self) -> str | None:
+        """Beginning of the text all pages share; None for a slot."""
+        return self.shown if self.votes == self.seen else None
+
+    def vote(self, other: Text) -> None:
+        """Take in what other pages say in this place."""
+        self.seen += other.seen
+        self.maybe |= other.maybe
+        if self.digest == other.digest:
+            self.votes += other.votes
+        elif self.votes >= other.votes:
+            self.votes -= other.votes
+        else:
+            self.shown, self.digest, self.votes = other.shown, other.digest, other.votes - self.votes
 
 
 def digest(s: str) -> str:
@@ -216,40 +241,60 @@ def parse(html: str) -> Node:
     return root
 
 
-def shape(node: Node) -> Node:
-    """A page as a wrapper of itself: inline markup becomes text, repeats become groups."""
-    kids: list = []
-    _flat(node, kids)
+def shape(tree: Node, names: frozenset[str] | None = None) -> Node:
+    """A page as a wrapper of itself: inline markup becomes text, repeats become groups, outside elements are empty."""
+    root = _shape(tree, names, LEVELS)
+    root.prints = frozenset([fingerprint(blocks(tree))])
+    return root
+
+
+def _shape(node: Node, names: frozenset[str] | None, levels: int) -> Node:
     out: list = []
-    text: list[str] = []
+    part: list[str] = []
 
     def flush():
-        s = " ".join("".join(text).split())
-        text.clear()
+        s = " ".join("".join(part).split())
+        part.clear()
         if s:
-            out.append(Text(s[:SHOWN], len(s), digest=digest(s)))
+            out.append(Text(s[:SHOWN], digest(s)))
 
-    for k in kids:
+    for k in _flat(node):
         if isinstance(k, str):
-            text.append(k)
+            part.append(k)
         else:
             flush()
-            out.append(shape(k))
+            if levels:
+                out.append(_shape(k, names, levels - 1))
     flush()
-    if node.tag == "#root":
-        return Node(node.tag, node.name, fold(out), pages=1, prints=frozenset([fingerprint(blocks(node))]))
-    return Node(node.tag, node.name, fold(out))
+    return Node(node.tag, shared_name(node, names), fold(out))
 
 
-def _flat(node: Node, out: list) -> None:
-    for k in node.kids:
-        if isinstance(k, Node) and k.tag in INLINE and not NAMES.search(k.name):
-            if k.tag == "br":
-                out.append(" ")
-            if any(isinstance(x, Node) and x.tag not in INLINE for x in k.kids) or k.kids:
-                _flat(k, out)
+def shared_name(node: Node, names: frozenset[str] | None) -> str:
+    """The name of an element, less what its host's pages do not share."""
+    if not node.name or names is None:
+        return node.name
+    return " ".join(x for x in node.name.split() if f"{node.tag} {x}" in names)
+
+
+def _flat(node: Node) -> Iterator:
+    """Texts and elements of a node, inline elements opened up, outside elements emptied."""
+    stack = [iter(node.kids)]
+    while stack:
+        for k in stack[-1]:
+            if isinstance(k, str):
+                yield k
+            elif outside(k.tag, k.name):
+                if k.tag not in INLINE:
+                    yield Node(k.tag, k.name)
+            elif k.tag in INLINE:
+                if k.tag == "br":
+                    yield " "
+                stack.append(iter(k.kids))
+                break
+            else:
+                yield k
         else:
-            out.append(k)
+            stack.pop()
 
 
 def fold(kids: list) -> list:
@@ -259,63 +304,108 @@ def fold(kids: list) -> list:
         while at + 2 * width <= len(kids):
             a, b = kids[at : at + width], kids[at + width : at + 2 * width]
             if all(x.key == y.key for x, y in zip(a, b, strict=True)) and any(isinstance(x, Node) for x in a):
-                run = [align(x, y) for x, y in zip(a, b, strict=True)]
+                run = [align(x, y, same=True) for x, y in zip(a, b, strict=True)]
                 for x in run:
                     if isinstance(x, Node):
                         x.many = True
-                kids = kids[:at] + run + kids[at + 2 * width :]
+                kids[at : at + 2 * width] = run
             else:
                 at += 1
     return kids
 
 
-def align(a, b):
-    """The wrapper of both: two texts, or two elements of one key."""
+def align(a, b, floor: float = 0, same: bool = False):
+    """The wrapper of both: two texts, or two elements of one key. `same` says that both are of the same pages.
+    What fewer than `floor` pages have is left out."""
+    seen = max(a.seen, b.seen) if same else a.seen + b.seen
     if isinstance(a, Text):
-        same = a.digest is not None and a.digest == b.digest
-        string, whole = (a.string, a.digest) if same else (None, None)
-        return Text(string, a.size + b.size, a.seen + b.seen, a.maybe or b.maybe, whole)
+        a.vote(b)
+        a.seen, a.votes = seen, min(a.votes, seen)
+        return a
     prints = frozenset(sorted(a.prints | b.prints)[:CONSTANT])
-    return Node(a.tag, a.name, _align(a.kids, b.kids), a.many or b.many, a.maybe or b.maybe, a.pages + b.pages, prints)
+    return Node(a.tag, a.name, _align(a.kids, b.kids, floor, same), a.many or b.many, a.maybe or b.maybe, seen, prints)
+
+
+def common_places(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by rows of bits: as many machine words as the lists need."""
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row, rows = full, []
+    for y in b:
+        on = row & where.get(y, 0)
+        row = ((row + on) | (row - on)) & full
+        rows.append(row)
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+            continue
+        j -= 1
+        if j and not rows[j - 1] >> (i - 1) & 1:
+            continue
+        i -= 1
+        out.append((i, j))
+    return out[::-1]
 
 
-def _align(a: list, b: list) -> list:
+def _align(a: list, b: list, floor: float, same: bool) -> list:
     """Align two lists of items by their longest common subsequence of keys; the rest is optional."""
-    if len(a) == len(b) and all(x.key == y.key for x, y in zip(a, b, strict=True)):
-        return [align(x, y) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
     ka, kb = [x.key for x in a], [y.key for y in b]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
+    both = [(i, i) for i in range(len(a))] if ka == kb else common_places(ka, kb)
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and ka[i] == kb[j]:
-            out.append(align(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            a[i].maybe = True
-            out.append(a[i])
-            i += 1
+    for x, y in [*both, (len(a), len(b))]:
+        for k in (*a[i:x], *b[j:y]):
+            k.maybe = True
+            out.append(k)
+        if x < len(a):
+            out.append(align(a[x], b[y], floor, same))
+        i, j = x + 1, y + 1
+    return fold([k for k in out if k.seen >= floor])
+
+
+def merged(wrappers: list[Node]) -> Node:
+    """The wrapper of wrappers of different pages, aligned in a balanced tree."""
+    while len(wrappers) > 1:
+        wrappers = sorted(wrappers, key=lambda x: x.seen)
+        pairs = zip(wrappers[::2], wrappers[1::2], strict=False)
+        odd = wrappers[-1:] if len(wrappers) % 2 else []
+        wrappers = [align(a, b, (a.seen + b.seen) / KEEP) for a, b in pairs] + odd
+    return wrappers[0]
+
+
+def outline(node: Node, texts: list[Text], out: list[str]) -> None:
+    """The structure of a wrapper as a list of marks, and its texts in order."""
+    for k in node.kids:
+        if isinstance(k, Text):
+            texts.append(k)
+            out.append("?#" if k.maybe else "#")
         else:
-            b[j].maybe = True
-            out.append(b[j])
-            j += 1
-    return fold(out)
+            out.append(f"<{k.tag} {k.name}{'*' * k.many}{'?' * k.maybe}")
+            outline(k, texts, out)
+            out.append(">")
+
+
+def counted(node: Node, pages: int) -> None:
+    """Set the pages of a wrapper that was met on so many pages of one structure."""
+    node.seen = pages
+    for k in node.kids:
+        if isinstance(k, Node):
+            counted(k, pages)
 
 
 def dump(x) -> list:
     if isinstance(x, Text):
-        return [x.string, x.size, x.seen, int(x.maybe), x.digest]
-    out = [x.tag, x.name, int(x.many) | int(x.maybe) << 1, [dump(k) for k in x.kids]]
-    return [*out, x.pages, sorted(x.prints)] if x.tag == "#root" else out
+        return [x.shown, x.digest, x.seen, x.votes, int(x.maybe)]
+    out = [x.tag, x.name, x.seen, [dump(k) for k in x.kids], int(x.many) | int(x.maybe) << 1]
+    return [*out, sorted(x.prints)] if x.prints else out
 
 
 def load(x: list):
     if isinstance(x[3], list):
-        return Node(x[0], x[1], [load(k) for k in x[3]], bool(x[2] & 1), bool(x[2] & 2), *x[4:5], *map(frozenset, x[5:]))
-    return Text(x[0], x[1], x[2], bool(x[3]), x[4])
+        return Node(x[0], x[1], [load(k) for k in x[3]], bool(x[4] & 1), bool(x[4] & 2), x[2], *map(frozenset, x[5:]))
+    return Text(x[0], x[1], x[2], x[3], bool(x[4]))
 
 
 @lru_cache(maxsize=1 << 16)
@@ -372,10 +462,7 @@ def blocks(
                 break
             else:
                 flush(path, marks)
-                name = k.name
-                if name and names is not None:
-                    name = " ".join(x for x in name.split() if f"{k.tag} {x}" in names)
-                down = step(path, k.tag, name)
+                down = step(path, k.tag, shared_name(k, names))
                 if many is not None:
                     if down in above:
                         twice.add(down)
@@ -411,23 +498,36 @@ def fingerprint(found: list[tuple[str, int, str]]) -> str:
     return digest("\n".join(s for _, _, s in found))
 
 
-def constants(wrapper: Node) -> set[str]:
-    """Path and digest of texts that all pages share; none where fewer than CONSTANT pages differ in what they say."""
-    out: set[str] = set()
+def candidates(wrapper: Node) -> list[tuple[str, Text]]:
+    """Path and text of what may be the template's: texts outside of repeated groups, on a good part of the pages."""
+    out: list[tuple[str, Text]] = []
 
     def walk(node: Node, path: str) -> None:
         for k in node.kids:
+            if KEEP * k.seen < 2 * wrapper.seen:
+                continue
             if isinstance(k, Text):
-                if k.digest is not None and k.seen == wrapper.pages and not k.maybe:
-                    out.add(f"{path} {k.digest}")
-            elif not (k.many or k.maybe or outside(k.tag, k.name)):
+                if k.votes:
+                    out.append((path, k))
+            elif not k.many:
                 walk(k, step(path, *k.key))
 
-    if len(wrapper.prints) >= CONSTANT:
-        walk(wrapper, "")
+    walk(wrapper, "")
     return out
 
 
+def constants(wrapper: Node) -> set[str]:
+    """Path and digest of the texts that, by their votes, are the template's; none where fewer than CONSTANT
+    pages differ in what they say."""
+    if len(wrapper.prints) < CONSTANT:
+        return set()
+    return {
+        f"{path} {k.digest}"
+        for path, k in candidates(wrapper)
+        if 100 * k.votes >= SHARE * k.seen and 2 * k.votes >= wrapper.seen
+    }
+
+
 class Rules:
     """What a template says about the pages of its host: the names that make paths (None: all), and its texts."""
 
@@ -473,104 +573,148 @@ def host(col: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(col, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-SHARED = pa.schema([("host", pa.string()), ("part", pa.int64()), ("common", pa.list_(pa.string())), ("prints", pa.list_(pa.string()))])
-SHARED_DDL = "host string, part bigint, common array<string>, prints array<string>"
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[1]:
+                yield row
 
 
-def _met(pages: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    """What the pages of a task share, by host. `pages` gives (host, what the page has, its prints), both as
-    functions of what is held, which is None for the first page of a host."""
-    from pyspark import TaskContext
+NAMED = "host string, name string, n bigint"
 
-    part = TaskContext.get().partitionId()
-    held: dict[str, tuple[set[str], set[str]]] = {}
-    items = 0
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, name, pages): the pages of a task that bear a name; their number under the name null."""
+    held: Counter = Counter()
 
     def out():
         rows = list(held.items())
-        for lo in range(0, len(rows), 64):
-            cut = rows[lo : lo + 64]
+        for lo in range(0, len(rows), 1 << 16):
+            cut = rows[lo : lo + (1 << 16)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([h for h, _ in cut], pa.string()),
-                    pa.array([part] * len(cut), pa.int64()),
-                    pa.array([sorted(c) for _, (c, _) in cut], pa.list_(pa.string())),
-                    pa.array([sorted(p) for _, (_, p) in cut], pa.list_(pa.string())),
+                    pa.array([h for (h, _), _ in cut], pa.string()),
+                    pa.array([x for (_, x), _ in cut], pa.string()),
+                    pa.array([n for _, n in cut], pa.int64()),
                 ],
-                schema=SHARED,
+                names=["host", "name", "n"],
             )
+        held.clear()
 
-    for name, said in pages:
-        now = held.get(name)
-        if now is None:
-            held[name] = now = said(None, set())
-            items += len(now[0])
-        else:
-            held[name] = said(*now)
-        if len(held) >= HOSTS or items >= ITEMS:
+    for name, page in _pages(batches):
+        held.update((name, x) for x in _named(parse(page)))
+        held[name, None] += 1
+        if len(held) >= ITEMS:
             yield from out()
-            held, items = {}, 0
     yield from out()
 
 
-def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names that the pages of a task share, and digests of up to CONSTANT different texts, by host."""
-
-    def said(page: str):
-        def meet(common: set[str] | None, prints: set[str]):
-            if common is not None and not common and len(prints) >= CONSTANT:
-                return common, prints
-            tree = parse(page)
-            if len(prints) < CONSTANT:
-                prints = prints | {fingerprint(blocks(tree))}
-            return (_named(tree) if common is None else common & _named(tree)), prints
-
-        return meet
-
-    return _met(
-        (name, said(page))
-        for batch in batches
-        for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        if page
-    )
+WRAPPED = pa.schema([("host", pa.string()), ("part", pa.int64()), ("wrapper", pa.string())])
+WRAPPED_DDL = "host string, part bigint, wrapper string"
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Path and digest of the texts that the pages of a task share, by host."""
+def number(s: str) -> int:
+    """64 bits of a digest."""
+    return int.from_bytes(blake2b(s.encode(), digest_size=8).digest(), "little", signed=True)
 
-    def said(page: str, names: list[str]):
-        def meet(common: set[str] | None, prints: set[str]):
-            if common is not None and not common:
-                return common, prints
-            many: set[str] = set()
-            found = blocks(parse(page), frozenset(names), many)
-            here = {f"{path} {digest(s)}" for path, _, s in found if path not in many}
-            return (here if common is None else common & here), prints
 
-        return meet
+def _wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A wrapper of each host's pages in a task: gathered by structure, structures aligned. Copies count once."""
+    from pyspark import TaskContext
 
-    return _met(
-        (name, said(page, names))
-        for batch in batches
-        for name, page, names in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-        if page
-    )
+    part = TaskContext.get().partitionId()
+    held: dict[str, dict[str, tuple[Node, list[Text]]]] = {}
+    copies: set[tuple[str, int]] = set()
+    shared: dict[str, frozenset[str]] = {}
+    items = 0
+
+    def out():
+        for name, groups in held.items():
+            for tree, texts in groups.values():
+                counted(tree, tree.seen)
+            said = json.dumps(dump(merged([tree for tree, _ in groups.values()])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name], pa.string()), pa.array([part], pa.int64()), pa.array([said], pa.string())], schema=WRAPPED
+            )
+
+    for name, page, names in _pages(batches):
+        if name not in shared:
+            shared[name] = frozenset(names)
+        tree = shape(parse(page), shared[name])
+        said = (name, number(next(iter(tree.prints))))
+        if said in copies:
+            continue
+        copies.add(said)
+        texts: list[Text] = []
+        marks: list[str] = []
+        outline(tree, texts, marks)
+        groups = held.setdefault(name, {})
+        known = groups.setdefault(digest("".join(marks)), (tree, texts))
+        if known[0] is tree:
+            items += len(marks)
+        else:
+            for x, y in zip(known[1], texts, strict=True):
+                x.vote(y)
+            known[0].seen += 1
+            known[0].prints = frozenset(sorted(known[0].prints | tree.prints)[:CONSTANT])
+        items += 1
+        if items >= ITEMS:
+            yield from out()
+            held, copies, shared, items = {}, set(), {}, 0
+    yield from out()
 
 
 def _joined(rows: pd.DataFrame) -> pd.DataFrame:
-    """What the rows of a group share, and their prints."""
-    common = set.intersection(*map(set, rows["common"]))
-    prints = sorted(set().union(*rows["prints"]))[:CONSTANT]
-    return pd.DataFrame(
-        {"host": [rows["host"].iloc[0]], "part": [int(rows["part"].min())], "common": [sorted(common)], "prints": [prints]}
-    )
+    """The wrapper of the wrappers of a group."""
+    tree = merged([load(json.loads(x)) for x in rows.sort_values(["part", "wrapper"])["wrapper"]])
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "part": [int(rows["part"].min())], "wrapper": [json.dumps(dump(tree))]})
 
 
 def _tree(parts: DataFrame) -> DataFrame:
     """One row per host of rows by host and task."""
     fans = parts.withColumn("fan", F.pmod(F.col("part"), F.lit(FAN)))
-    first = fans.groupBy("host", "fan").applyInPandas(lambda x: _joined(x.drop(columns="fan")), SHARED_DDL)
-    return first.groupBy("host").applyInPandas(_joined, SHARED_DDL)
+    first = fans.groupBy("host", "fan").applyInPandas(lambda x: _joined(x.drop(columns="fan")), WRAPPED_DDL)
+    return first.groupBy("host").applyInPandas(_joined, WRAPPED_DDL)
+
+
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, text) of the texts of the host's wrapper that may be the template's, as path and digest."""
+    for batch in batches:
+        for name, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            texts = sorted({f"{path} {k.digest}" for path, k in candidates(load(json.loads(said)))})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name], pa.string()), pa.array([texts], pa.list_(pa.string()))], names=["host", "texts"]
+            )
+
+
+HELD = "host string, at int, print bigint, hit boolean"
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, number of the text, page print, whether said) where a page has an element at a text's place; -1 for the page."""
+    last, places = None, {}
+    for batch in batches:
+        rows = []
+        for name, page, names, texts in _pages(iter([batch])):
+            if name != last:
+                last, names_of, places = name, frozenset(names), {}
+                for at, x in enumerate(texts):
+                    path, whole = x.split(" ", 1)
+                    places.setdefault(path, []).append((at, whole))
+            many: set[str] = set()
+            found = blocks(parse(page), names_of, many)
+            said = number(fingerprint(found))
+            rows.append((name, -1, said, True))
+            here: dict[str, set[str]] = {}
+            for path, _, s in found:
+                if path in places:
+                    here.setdefault(path, set()).add("" if path in many else digest(s))
+            rows.extend((name, at, said, whole in own) for path, own in here.items() for at, whole in places[path])
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.bool_()), strict=True)],
+            names=["host", "at", "print", "hit"],
+        )
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -578,12 +722,34 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     Pages without html say nothing."""
     batched(pages.sparkSession)
     rows = pages.select(host(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    hosts = written(_tree(rows.mapInArrow(_names, SHARED_DDL)).select("host", F.col("common").alias("names"), "prints"), "hosts")
-    apart = hosts.where(F.size("prints") >= CONSTANT).select("host", "names")
-    texts = _tree(rows.join(apart, "host").select("host", "html", "names").mapInArrow(_texts, SHARED_DDL))
-    return hosts.join(texts.where(F.size("common") > 0).select("host", "common"), "host", "left").select(
-        "host", F.when(F.col("common").isNotNull(), F.to_json(F.struct("names", "common"))).alias("rules")
+    bearing = written(rows.mapInArrow(_names, NAMED).groupBy("host", "name").agg(F.sum("n").alias("n")), "names")
+    hosts = bearing.where("name IS NULL").select("host", F.col("n").alias("pages"))
+    usual = bearing.join(hosts, "host").where("name IS NOT NULL AND 2 * n >= pages").groupBy("host").agg(
+        F.sort_array(F.collect_list("name")).alias("names")  # at most twice the names of an average page
+    )
+    none = F.array().cast("array<string>")
+    several = written(
+        hosts.where(F.col("pages") >= CONSTANT).join(usual, "host", "left")
+        .select("host", F.coalesce("names", none).alias("names")),
+        "hosts",
+    )
+    wrappers = _tree(rows.join(several, "host").select("host", "html", "names").mapInArrow(_wrapped, WRAPPED_DDL))
+    maybe = written(
+        wrappers.select("host", "wrapper").mapInArrow(_said, "host string, texts array<string>")
+        .where(F.size("texts") > 0).join(several, "host").select("host", "names", "texts"),
+        "candidates",
+    )
+    met = rows.join(maybe, "host").select("host", "html", "names", "texts").mapInArrow(_held, HELD)
+    # pages that say the same are one page
+    each = met.groupBy("host", "at", "print").agg(F.max("hit").alias("hit"))
+    tally = written(each.groupBy("host", "at").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits")), "tally")
+    of = tally.where("at < 0").select("host", F.col("n").alias("pages"))
+    sure = (F.col("hits") >= CONSTANT) & (100 * F.col("hits") >= SHARE * F.col("n")) & (2 * F.col("hits") >= F.col("pages"))
+    texts = tally.where("at >= 0").join(of, "host").where(sure).groupBy("host").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    said = maybe.join(texts, "host").select(
+        "host", F.to_json(F.struct("names", F.transform("ats", lambda i: F.get("texts", i)).alias("common"))).alias("rules")
     )
+    return hosts.join(said, "host", "left").select("host", "rules")
 
 
 @lru_cache(maxsize=4096)

@@ -1,3 +1,6 @@
+import random
+from itertools import combinations
+
 import pytest
 
 from findrift.llm import wrappers as w
@@ -178,3 +181,115 @@ def test_deep_pages_in_spark(spark):
 
     df = spark.createDataFrame([(i, "http://deep.org/", page(i)) for i in range(4)], "page_id int, url string, html string")
     assert {(r["page_id"], r["text"]) for r in w.extract(df).collect()} == {(i, f"deep {i}") for i in range(4)}
+
+
+def test_common_places_against_all_subsequences():
+    def longest(a, b):
+        for n in range(min(len(a), len(b)), 0, -1):
+            if {tuple(a[i] for i in c) for c in combinations(range(len(a)), n)} & {tuple(b[i] for i in c) for c in combinations(range(len(b)), n)}:
+                return n
+        return 0
+
+    draw = random.Random(3)
+    for _ in range(400):
+        a, b = ([draw.choice("abc") for _ in range(draw.randrange(8))] for _ in "ab")
+        got = w.common_places(a, b)
+        assert len(got) == longest(a, b) and all(a[i] == b[j] for i, j in got)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
+def test_votes_keep_a_majority_in_any_order():
+    draw = random.Random(5)
+    for _ in range(200):
+        said = ["x"] * 6 + [draw.choice("yz") for _ in range(5)]
+        draw.shuffle(said)
+        texts = [w.Text(s, s) for s in said]
+        while len(texts) > 1:
+            a, b = (texts.pop(draw.randrange(len(texts))) for _ in "ab")
+            a.vote(b)
+            texts.append(a)
+        assert (texts[0].digest, texts[0].seen) == ("x", 11) and texts[0].string is None
+
+
+def plain(i, kinds=3):
+    """An unmarked page: nothing tells the site's name, the line below it and the last line but that all pages have them."""
+    extra = f"<div class=k><b>Note {i}</b></div>" if i % kinds == 1 else ""
+    body = "".join(f"<p>par {i} {k}</p>" for k in range(i % 4 + 1))
+    page = f"{HEAD}<div class=a>Site name here</div><div class=b><h2>T{i}</h2>{extra}{body}</div><div class=c>All rights kept</div></body></html>"
+    own = [f"T{i}", *([f"Note {i}"] if extra else []), *[f"par {i} {k}" for k in range(i % 4 + 1)]]
+    return page, "\n".join(own)
+
+
+def extracted(spark, pages, parts=4):
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "page_id int, url string, html string")
+    return [r["text"] for r in sorted(w.extract(df.repartition(parts)).collect(), key=lambda r: r["page_id"])]
+
+
+def test_one_odd_page_changes_nothing(spark):
+    pages = [plain(i) for i in range(200)]
+    rows = [("big.org", p) for p, _ in pages] + [("big.org", "<p>503 try later</p>"), ("big.org", "  "), ("big.org", None)]
+    got = extracted(spark, rows, 7)
+    assert got == [t for _, t in pages] + ["503 try later", "", ""]
+    # without the template the same pages say more
+    assert "Site name here" in w.Rules(None).text(pages[0][0])
+
+
+def test_a_text_of_some_kinds_of_pages_is_the_templates_by_share(spark):
+    def page(i):
+        site = "Site" if i % 20 else "Our site, renewed"
+        return f"{HEAD}<div class=a>{site}</div><div class=b><h2>T{i}</h2><p>p{i}</p></div></body></html>"
+
+    got = extracted(spark, [("h.org", page(i)) for i in range(100)])
+    assert got == [f"T{i}\np{i}" if i % 20 else f"Our site, renewed\nT{i}\np{i}" for i in range(100)]
+
+
+def test_template_against_counting_all_pages(spark):
+    """Brute force: align the pages of each host one by one, then look at each page for each text."""
+    draw = random.Random(11)
+
+    def page(i, host):
+        blocks = [f"<div class=a>Site {host}</div>", f"<div class=b><h2>T{i}</h2><p>p{i}</p></div>", f"<pre>Terms of {host}</pre>"]
+        if draw.random() < 0.3:
+            blocks.insert(1, f"<div class=x>{draw.choice(['Offer', 'News'])}</div>")
+        if draw.random() < 0.05:
+            blocks.pop(0)
+        if draw.random() < 0.02:
+            blocks[-1] = "<pre>Other terms</pre>"
+        return HEAD + "".join(blocks) + "</body></html>"
+
+    rows = [(h, page(i, h)) for i in range(60) for h in ("one.org", "two.org", "three.org")]
+    want = []
+    for h, p in rows:
+        found = [w.blocks(w.parse(q)) for g, q in rows if g == h]
+        here = [dict((path, s) for path, _, s in f) for f in found]
+        template = set()
+        for path in {x for f in here for x in f}:
+            said = [f[path] for f in here if path in f]
+            for s in set(said):
+                if said.count(s) >= 3 and 100 * said.count(s) >= w.SHARE * len(said) and 2 * said.count(s) >= len(here):
+                    template.add((path, s))
+        want.append("\n".join(s for path, _, s in w.blocks(w.parse(p)) if (path, s) not in template))
+    assert extracted(spark, rows, 5) == want
+
+
+def test_wrappers_stay_small_however_pages_differ():
+    draw = random.Random(2)
+
+    def page(i):
+        kids = "".join(f"<div class={draw.choice('abcdefghij')}{draw.choice('klmnopqrst')}>x{i}</div>" for _ in range(12))
+        return f"{HEAD}<div class=site>Site</div>{kids}</body></html>"
+
+    def size(n):
+        tree = w.merged([w.shape(w.parse(page(i))) for i in range(n)])
+        marks = []
+        w.outline(tree, [], marks)
+        assert ("Site" in {k.shown for _, k in w.candidates(tree)}) and tree.seen == n
+        return len(marks)
+
+    assert size(600) < w.KEEP * size(1)
+
+
+def test_empty_and_lone_hosts(spark):
+    pages = [plain(i) for i in range(2)]
+    got = extracted(spark, [("a.org", pages[0][0]), ("a.org", pages[1][0]), ("b.org", "")])
+    assert got[0].startswith("Site name here\nT0") and got[2] == ""
