@@ -60,7 +60,8 @@ def tokens(col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndar
     end[last] = inside[last]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
     text = np.searchsorted(offs, starts, "right") - 1
-    breaks = np.concatenate([[0], np.cumsum(_BREAK[data])])
+    breaks = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(_BREAK[data], out=breaks[1:])
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (text[1:] != text[:-1]) | (breaks[starts[1:]] > breaks[ends[:-1]])
     return data, starts, ends, text, fresh
@@ -362,9 +363,10 @@ def _over_tries(blocks: DataFrame, tries: DataFrame, shards: int, use: Callable,
         row = tries.where((F.col("shard") == shard) & F.col("base").isNotNull()).select("base", "check").first()
         if row is None:
             continue
-        sent = context.broadcast((bytes(row.base), bytes(row.check)))  # bounded: about 20 bytes a phrase
+        sent = context.broadcast((row.base, row.check))  # bounded by the phrases of a trie
+        del row
         out.append((shard, written(blocks.mapInArrow(use(shard, sent), schema), "trie-pass")))
-        sent.unpersist()
+        sent.destroy()  # the driver's copies too: what was written needs no trie again
     return out
 
 
