@@ -78,7 +78,10 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """One search request per `benchmark` row, as text parameters."""
+    """Two search requests per `benchmark` row, as text parameters.
+
+    Even query ids ask for the whole text; odd ones are blank, an exact value or some of the words.
+    """
     w = F.split("text", r"\s+")
     k = F.col("item_id") % 10
     i = F.col("item_id")
@@ -86,10 +89,14 @@ def raw_requests(spark: SparkSession, sf: str) -> DataFrame:
     def span(start: int, n: int):
         return F.array_join(F.slice(w, start, n), " ")
 
-    return table(spark, sf, "benchmark").select(
-        i.alias("query_id"),
+    short = (
         F.when(k == 0, "  ").when(k == 1, "en").when(k == 2, "RED").when(k == 3, "Brand#13")
-        .when(k == 4, span(1, 1)).when(k == 5, span(1, 5)).otherwise(span(2, 3)).alias("q"),
+        .when(k == 4, span(1, 1)).when(k == 5, span(1, 5)).otherwise(span(2, 3))
+    )
+    forms = F.posexplode(F.array(F.col("text"), short)).alias("form", "q")
+    return table(spark, sf, "benchmark").select("item_id", forms).select(
+        (i * 2 + F.col("form")).alias("query_id"),
+        "q",
         F.when(i % 3 == 0, "en,,src1").alias("genres"),
         F.when(i % 4 == 0, "5.0").when(i % 4 == 1, "abc").alias("ratingMin"),
         F.when(i % 5 == 0, "6").alias("ratingMax"),
@@ -130,19 +137,26 @@ def keyword_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_limits(spark: SparkSession, sf: str) -> DataFrame:
-    """One similarity request per `benchmark` row; some ask for an unknown document."""
-    i = F.col("item_id")
-    return table(spark, sf, "benchmark").select(
-        i.alias("query_id"), (i * 26).alias("anchor"),
+    """One request per document, and one for an unknown document per `benchmark` row."""
+    unknown = table(spark, sf, "benchmark").select((F.col("item_id") * 20 + 1_000_000_000).alias("anchor"))
+    asked = table(spark, sf, "documents").select(F.col("doc_id").alias("anchor")).unionAll(unknown)
+    i = F.expr("anchor div 20")
+    return asked.select(
+        F.col("anchor").alias("query_id"), "anchor",
         F.when(i % 4 == 0, "50").when(i % 4 == 1, "0").when(i % 4 == 2, "x")
         .when(i % 8 == 3, "3000000000").alias("limit"),
     )
 
 
-def similar_requests(spark: SparkSession, sf: str) -> DataFrame:
+def id_requests(spark: SparkSession, sf: str) -> DataFrame:
     return normalize_limits(raw_limits(spark, sf))
 
 
+def similar_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """The requests whose id is divisible by 20 are the queries of a search over all documents."""
+    return id_requests(spark, sf).where(F.col("anchor") % 20 == 0)
+
+
 def id_export(spark: SparkSession, sf: str) -> DataFrame:
     """`part` as an id export; some ids have no popularity above zero."""
     price = F.when(F.col("p_partkey") % 11 == 0, 0.0).otherwise(F.col("p_retailprice"))

@@ -110,17 +110,18 @@ select *, case
 from catalog
 """
 CTE["rawq"] = r"""
-select item_id query_id,
-  case item_id % 10 when 0 then '  ' when 1 then 'en' when 2 then 'RED' when 3 then 'Brand#13'
+select item_id * 2 + form query_id,
+  case when form = 0 then text else case item_id % 10
+    when 0 then '  ' when 1 then 'en' when 2 then 'RED' when 3 then 'Brand#13'
     when 4 then w[1] when 5 then array_to_string(w[1:5], ' ')
-    else array_to_string(w[2:4], ' ') end q,
+    else array_to_string(w[2:4], ' ') end end q,
   case when item_id % 3 = 0 then 'en,,src1' end genres,
   case item_id % 4 when 0 then '5.0' when 1 then 'abc' end rmin,
   case when item_id % 5 = 0 then '6' end rmax,
   case when item_id % 7 = 0 then '2' when item_id % 7 = 1 then '0' when item_id % 7 = 2 then '99999999999'
     when item_id % 11 = 3 then repeat('9', 400) end page,
   case item_id % 6 when 0 then '10' when 1 then '500' when 2 then '99999999999' end size
-from (select *, string_split_regex(text, '\s+') w from benchmark)
+from (select *, string_split_regex(text, '\s+') w from benchmark), (values (0), (1)) forms(form)
 """
 CTE["q"] = """
 select query_id, coalesce(q, '') query,
@@ -279,12 +280,14 @@ select m.query_id, m.id, m.score, q.page, q.page_size,
 from matched m join q using (query_id) where {_GENRE_OK} and {_RATING_OK}
 """
 CTE["sreq"] = """
-select item_id query_id, item_id * 26 anchor,
-  case when item_id % 4 = 0 or item_id % 8 = 3 then 20 when item_id % 4 = 1 then 1 else 8 end as "limit" from benchmark
+select anchor query_id, anchor, case when anchor // 20 % 4 = 0 or anchor // 20 % 8 = 3 then 20
+  when anchor // 20 % 4 = 1 then 1 else 8 end as "limit"
+from (select doc_id anchor from documents union all select item_id * 20 + 1000000000 from benchmark)
 """
+CTE["areq"] = "select * from sreq where anchor % 20 = 0"
 CTE["tell"] = """
 select r.anchor, p.field, p.term, v.df
-from (select distinct anchor from sreq) r join post p on p.id = r.anchor
+from (select distinct anchor from areq) r join post p on p.id = r.anchor
 join voc v on v.field = p.field and v.term = p.term, (select count(*) n from catalog) c
 where p.field in ('title', 'overview', 'genres', 'keywords') and v.df >= 2
 qualify row_number() over (partition by r.anchor
@@ -461,7 +464,7 @@ FINAL: dict[str, str] = {
     ),
     "similar_docs": (
         "select query_id, anchor, rank, s.id, score, title, genres, vote_average, release_date "
-        'from sreq join sim s using (anchor) join catalog c on c.id = s.id where rank <= "limit"'
+        'from areq join sim s using (anchor) join catalog c on c.id = s.id where rank <= "limit"'
     ),
     "filter_genres_any": (
         f"select m.query_id, m.id from matched m join t using (query_id) join q using (query_id) where {_GENRE_OK}"

@@ -260,7 +260,7 @@ def genres_overview(spark, sf):
 
 @register
 def lookup_by_id(spark, sf):
-    ids = B.similar_requests(spark, sf).select("query_id", F.col("anchor").alias("id"))
+    ids = B.id_requests(spark, sf).select("query_id", F.col("anchor").alias("id"))
     return LK.lookup_by_id(ids, B.catalog(spark, sf), "title", "director")
 
 
