@@ -12,15 +12,19 @@ nothing and is gone at once.
 2. A chunk orders the shared shingles of each document and finds its prefix.
    Equal sets are one node from here on, however many copies there are.
 3. Prefix shingles are joined with a few leaders of their list, which gives a
-   number of pairs linear in the prefixes. Pairs are verified: the range of hashes
-   (not the order) is cut evenly into FRAGMENTS, the same for all sets, partial
+   number of pairs linear in the prefixes. Pairs are verified: the order is cut into
+   FRAGMENTS at pivots, the same for all sets, which fall where a histogram of all
+   shared shingles says that each fragment gets about as many of them; partial
    overlaps are counted per fragment and summed. Fragments make no candidates.
 4. Linked pairs give components. Pairs of a shared prefix shingle whose ends are
    in different components, and only those, are then verified too, unless a
    parity word of their shingles already shows that they differ too much; so
    groups of thousands of near copies never become all their pairs, and no link
    between components is missed. Only components are returned, so pairs inside one need
-   not be looked at.
+   not be looked at. The shorter set of a pair must meet the other so early that what
+   follows can still be shared by both, and what follows limits the length of the
+   other; pairs are joined on bands of that length, so a passage of many documents
+   that is too short to link them makes no pairs at all.
 
 No list is collected anywhere; every step is a join, an aggregation, or a packed
 exchange whose pieces are bounded by the batch and the number of ranges.
@@ -28,6 +32,7 @@ exchange whose pieces are bounded by the batch and the number of ranges.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -44,6 +49,8 @@ from findrift.llm.words import SHINGLE, U, mix, shingles
 PERCENT = 80  # similarity: 100 * intersection >= PERCENT * union
 FRAGMENTS = 4
 LEADERS = 3
+BAND = 1.05  # lengths of a band differ by less than this factor
+SALTS = 32  # parts of a component that learn its least id
 BITS = 1024  # of the parity word that tells unlike sets apart
 TOKEN = U((1 << 48) - 1)  # bits of a shingle hash that are sent
 FLUSH = 1_500_000  # shingles held by a map task before they are sent on
@@ -192,7 +199,29 @@ def _shared(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(out)])
 
 
-NODES = "node bigint, n bigint, before bigint, prefix int, tokens binary, bits array<bigint>"
+NODES = "node bigint, n bigint, before bigint, prefix int, tokens binary, cuts array<int>, bits array<bigint>"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared shingles by the binary logarithm of the number of documents that hold them."""
+    total = np.zeros(33, np.int64)
+    for batch in batches:
+        for c in batch.column(0).to_pylist():
+            total += np.bincount(np.log2(_unsmall(c)).astype(np.int64), minlength=33)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["step", "many"])
+
+
+def _pivots(back: DataFrame) -> list[int]:
+    """FRAGMENTS - 1 document counts at which the global order is cut; at most 33 rows are gathered."""
+    found = back.where("kind = 1").select("c").mapInArrow(_counted, "step bigint, many bigint")
+    steps = found.groupBy("step").agg(F.sum("many").alias("many")).orderBy("step").collect()
+    total, sum_, out = sum(r.many for r in steps), 0, []
+    for r in steps:
+        sum_ += r.many
+        while len(out) < FRAGMENTS - 1 and sum_ * FRAGMENTS >= total * (len(out) + 1):
+            out.append(2 << r.step)
+    return out
 
 
 def _bits(tokens: np.ndarray) -> np.ndarray:
@@ -205,9 +234,10 @@ def _bits(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-def _ordered(percent: int):
-    """Of one chunk: shared shingles of each document that can link, in the global order."""
-    schema = pa.schema([("node", _I64), ("n", _I64), ("before", _I64), ("prefix", _I32), ("tokens", _B), ("bits", pa.list_(_I64))])
+def _ordered(percent: int, pivots: list[int]):
+    """Of one chunk: shared shingles of each document that can link, in the global order, and its cuts."""
+    schema = pa.schema([("node", _I64), ("n", _I64), ("before", _I64), ("prefix", _I32), ("tokens", _B),
+                        ("cuts", pa.list_(_I32)), ("bits", pa.list_(_I64))])
 
     def run(rows: pa.Table) -> pa.Table:
         kind = rows.column("kind").to_pylist()
@@ -221,7 +251,7 @@ def _ordered(percent: int):
         d = np.concatenate([_unsmall(b[i]) for i in at])
         f = np.concatenate([_unsmall(c[i]) for i in at])
         order = np.lexsort((g, f, d))
-        g, d = g[order], d[order]
+        g, d, f = g[order], d[order], f[order]
         ends = np.searchsorted(d, np.arange(len(n) + 1))
         have = np.diff(ends)
         before = n - have  # shingles of this document only come first
@@ -231,7 +261,8 @@ def _ordered(percent: int):
             if (sets[i], n[i]) not in done:  # copies in this chunk
                 done.add((sets[i], n[i]))
                 out.append((int(sets[i]), int(n[i]), int(before[i]), int(min(prefix[i], have[i])),
-                            _six(g[ends[i] : ends[i + 1]]), _bits(g[ends[i] : ends[i + 1]])))
+                            _six(g[ends[i] : ends[i + 1]]), np.searchsorted(f[ends[i] : ends[i + 1]], pivots).astype(np.int32),
+                            _bits(g[ends[i] : ends[i + 1]])))
         if not out:
             return schema.empty_table()
         return pa.table([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -264,13 +295,11 @@ SEGMENTS = "node bigint, n bigint, fragment int, segment array<bigint>"
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shared shingles of each node, cut at the same places of the hash for all nodes."""
-    edges = (np.arange(1, FRAGMENTS) * ((1 << 48) // FRAGMENTS)).astype(U)
+    """The shared shingles of each node, cut at the same places of the global order for all nodes."""
     for batch in batches:
         rows = []
-        for node, n, tokens in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4)), strict=True):
-            t = np.sort(_unsix(tokens))
-            for k, part in enumerate(np.split(t, np.searchsorted(t, edges))):
+        for node, n, tokens, cuts in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5)), strict=True):
+            for k, part in enumerate(np.split(_unsix(tokens), cuts)):
                 if len(part):
                     rows.append((node, n, k, part.view("<i8")))
         for lo in range(0, len(rows), 1024):
@@ -315,6 +344,31 @@ def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def across(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that a prefix shingle allows to be similar, the shorter set first.
+
+    A set of n that meets a set at least as long at place p shares at most n - p
+    shingles with it, which bounds the other's length; the join is on that length's bands.
+    """
+
+    def side(k: int) -> DataFrame:
+        names = {"node": "x", "n": "n", "pos": "p", "root": "r", "before": "f", "bits": "b"}
+        return open_.select("token", *[F.col(c).alias(f"{to}{k}") for c, to in names.items()])
+
+    def band(n):
+        return F.floor(F.log(n) / math.log(BAND)).cast("int")
+
+    longest = F.expr(f"({100 + percent} * (n1 - p1) - {percent} * n1) div {percent}")
+    short = side(1).where(longest >= F.col("n1")).withColumn(
+        "band", F.explode(F.sequence(band(F.col("n1")), band(longest)))
+    )
+    long = side(2).withColumn("band", band(F.col("n2")))
+    apart = (F.col("r1") != F.col("r2")) & (
+        (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("x1") < F.col("x2")))
+    )
+    return short.join(long, ["token", "band"]).where(apart & _may_link(percent))
+
+
 def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("x1", "x2").alias("u"), F.greatest("x1", "x2").alias("v")).distinct()
 
@@ -344,10 +398,10 @@ def classes(
     )
     nodes = written(
         back.groupBy("chunk")
-        .applyInArrow(_ordered(percent), NODES)
+        .applyInArrow(_ordered(percent, _pivots(back)), NODES)
         .groupBy("node", "n")
-        .agg(F.min(F.struct("before", "prefix", "tokens", "bits")).alias("x"))
-        .select("node", "n", "x.before", "x.prefix", "x.tokens", "x.bits"),
+        .agg(F.min(F.struct("before", "prefix", "tokens", "cuts", "bits")).alias("x"))
+        .select("node", "n", "x.before", "x.prefix", "x.tokens", "x.cuts", "x.bits"),
         "nodes",
     )
     lines = back.where("kind = 0").select("a", "b", "c")
@@ -379,21 +433,20 @@ def classes(
     )
     open_ = written(named.join(mixed, "token").join(nodes.select("node", "before", "bits"), "node"), "open")
 
-    def side(k: int) -> DataFrame:
-        names = {"node": "x", "n": "n", "pos": "p", "root": "r", "before": "f", "bits": "b"}
-        return open_.select("token", *[F.col(c).alias(f"{to}{k}") for c, to in names.items()])
-
-    apart = (F.col("x1") < F.col("x2")) & (F.col("r1") != F.col("r2"))
-    met = side(1).join(side(2), "token").where(apart & _may_link(percent) & _differ_little(percent))
+    met = across(open_, percent).where(_differ_little(percent))
     more = _pairs(met).join(first, ["u", "v"], "left_anti")
     again = verified(written(more, "pairs"), segments, percent)
     all_ = written(links.unionAll(again), "links")
     found = written(components(all_), "found")
 
     sets = rows.where("n_shingles > 0").groupBy("node", "n_shingles").agg(F.min("_id").alias("least"))
-    rooted = sets.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lows = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(lows, "root").select("node", "n_shingles", "component_id"), "classes")
+    rooted = sets.join(found, "node", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    linked = rooted.where("root is not null")
+    lows = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.collect_set("salt").alias("salts"))
+    lows = lows.select("root", "component_id", F.explode("salts").alias("salt"))
+    alone = rooted.where("root is null").select("node", "n_shingles", F.col("least").alias("component_id"))
+    named = linked.join(lows, ["root", "salt"]).select("node", "n_shingles", "component_id").unionAll(alone)
+    named = written(named, "classes")
     return (
         rows.where("n_shingles > 0")
         .join(named, ["node", "n_shingles"])

@@ -83,6 +83,28 @@ def test_exactly_at_the_threshold(spark):
     )
 
 
+@pytest.mark.parametrize("many", [200, 400])
+def test_a_passage_too_short_to_link_makes_no_pairs(spark, monkeypatch, many):
+    made, across = [], J.across
+    monkeypatch.setattr(J, "across", lambda *a: made.append(across(*a)) or made[-1])
+    passage = " ".join(f"p{i}" for i in range(104))
+    rows = [(i, passage + " " + " ".join(f"d{i}x{k}" for k in range(20))) for i in range(many)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = [(r["doc_id"], r["component_id"]) for r in J.classes(df).collect()]
+    assert sorted(got) == [(i, i) for i in range(many)]
+    assert made[0].count() <= many  # all pairs are many * (many - 1) / 2 for each of five shingles
+
+
+def test_lengths_at_the_ends_of_the_bands(spark):
+    # each set is the start of one long text; neighbours and sets of four fifths of the length link
+    whole = [f"w{i}" for i in range(160)]
+    for step in (1, 7, 30):
+        rows = [(i, " ".join(whole[:n])) for i, n in enumerate(range(12, 160, step))]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.classes(df).collect()), key=str)
+        assert got == brute(rows)
+
+
 def test_odd_rows(odd, none):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.classes(odd).collect()), key=str)
     assert got == [tuple(x) if x[1] else (x[0], 0, x[0]) for x in brute(ODD)]
