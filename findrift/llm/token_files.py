@@ -26,6 +26,7 @@ from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +37,15 @@ from findrift.llm.store import batched, folder, written
 
 END = 2
 PART_BYTES = 24 << 20  # text of a part, about
-WORDS = 800_000  # distinct words, and pre-tokens, whose ids a worker keeps
-CUT = 2_000_000  # characters encoded at a time
+WORDS = 800_000  # distinct pre-tokens whose ids a worker keeps
+CUT = 8 << 20  # bytes of text encoded at a time
+MERGED = 50_000  # pre-tokens the library merges at a time
 # printable, no white space, letters and digits that no version of Unicode has changed since
-PLAIN = regex.compile(r"[!-~\u00A1-\u052F]+").fullmatch
+_PLAIN = "[!-~\u00A1-\u052F]+"
+_LATIN = "[!-~\u00A1-\u02FF]+"
+PLAIN = regex.compile(_PLAIN).fullmatch
+_MARK = 0xFFFFFFFF  # no id: the end of a word
+MARK = struct.pack("<I", _MARK)
 SLICE = 1_000_000  # ids a reader holds at a time
 MAGIC = b"TOKIDX01"
 _HEAD = struct.Struct("<8sQQ")  # magic, bytes of an id, documents
@@ -50,83 +56,126 @@ class WordEncoder:
 
     White space always ends a pre-token of such a tokenizer and no rule of its
     normalizer reaches across it; equal words therefore have equal ids wherever
-    they stand, and each distinct one is encoded once while it is in the table.
-    Of a word in letters whose classes are settled (PLAIN), the file's normalizer
-    and merges are applied to its distinct pre-tokens; other words go through the
-    library whole. Tests compare both ways.
+    they stand, and each distinct one of some texts is encoded once. Words are cut
+    out, numbered and replaced by their ids as arrays. Of a word in letters whose
+    classes are settled (PLAIN), the file's normalizer, pattern and merges are
+    applied to its distinct pre-tokens; other words go through the library whole.
+    Tests compare both ways.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
         with open(path, encoding="utf-8") as f:
-            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
-        cut = steps[0]
+            file = json.load(f)
+        cut, *rest = file["pre_tokenizer"]["pretokenizers"]
         plain = cut["type"] == "Split" and cut["behavior"] == "Removed" and cut["invert"]
-        if not plain or steps[1:] != [{**steps[1], "type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]:
+        if not plain or rest != [{**rest[0], "type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]:
             raise ValueError("the tokenizer file does not cut words by one pattern")
         model = Tokenizer.from_file(path)
         model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.whole = getattr(model, "encode_batch_fast", model.encode_batch)
         self.width = 2 if model.get_vocab_size() <= 1 << 16 else 4
-        self.find = regex.compile(cut["pattern"]["Regex"]).findall
+        # a blank marks the end of a word
+        self.find = regex.compile(cut["pattern"]["Regex"] + "| ").findall
         self.normal = model.normalizer.normalize_str
-        self.merged = model.model.tokenize
-        # bytes as the file writes them: themselves where printable, else from 256 on
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.shown = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(shown)))}
+        # letters up to U+02FF do not compose; where the file only makes them lower case, Python's does the same
+        latin = [c for c in map(chr, range(0x300)) if regex.fullmatch(_LATIN, c)]
+        sample = " ".join([*latin, "".join(latin)])
+        self.lower = str.lower if self.normal(sample) == sample.lower() else self.normal
+        merges = Tokenizer(model.model)
+        merges.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.merges = getattr(merges, "encode_batch_fast", merges.encode_batch)
+        # where each byte can end a pre-token, tokens with the suffix tell where it ends
+        vocab, suffix = model.get_vocab(), file["model"].get("end_of_word_suffix")
+        self.closing = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix and all(c + suffix in vocab for c in ByteLevel.alphabet()):
+            self.closing[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.pieces = _Table(self._merged, WORDS)
-        self.words = _Table(self._words, WORDS)
-
-    def _bytes(self, ids) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
 
     def _merged(self, pieces: list[str]) -> list[bytes]:
         """Ids of pre-tokens by the file's merges."""
-        table, merge = self.shown, self.merged
-        made = [merge(x if x.isascii() else x.encode().decode("latin-1").translate(table)) for x in pieces]
-        ids = self._bytes([t.id for tokens in made for t in tokens])
-        ends = list(accumulate(map(len, made), initial=0))
-        return [ids[self.width * i : self.width * j] for i, j in pairwise(ends)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        # ASCII letters are one pre-token, and their normal form is lower case
-        letters = [k for k, w in enumerate(words) if w.isascii() and w.isalpha()]
-        rest = [k for k, w in enumerate(words) if w and not (w.isascii() and w.isalpha())]
-        plain = [k for k in rest if PLAIN(words[k])]
-        other = [k for k in rest if not PLAIN(words[k])]
-        out: list[bytes] = [b""] * len(words)
-        for k, ids in zip(letters, self._merged([words[k].lower() for k in letters]), strict=True):
-            out[k] = ids
-        if plain:
-            normal = self.normal(" ".join([words[k] for k in plain])).split(" ")
-            cuts = [(w,) if w.isalpha() else self.find(w) for w in normal]
-            self.pieces.learn(set().union(*cuts))
-            of = self.pieces.new
-            for k, cut in zip(plain, cuts, strict=True):
-                out[k] = of[cut[0]] if len(cut) == 1 else b"".join([of[x] for x in cut])
-            self.pieces.turn()
-        for k, e in zip(other, self.whole([words[k] for k in other], add_special_tokens=False), strict=True):
-            out[k] = self._bytes(e.ids)
+        out = []
+        for k in range(0, len(pieces), MERGED):
+            part = pieces[k : k + MERGED]
+            ids = np.array(self.merges([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [0, *(np.flatnonzero(self.closing[ids]) + 1).tolist()]
+            if len(ends) != len(part) + 1:
+                made = [e.ids for e in self.merges(part, add_special_tokens=False)]
+                ids = np.array([i for x in made for i in x], "<u4")
+                ends = list(accumulate(map(len, made), initial=0))
+            held = ids.tobytes()
+            out += [held[4 * i : 4 * j] for i, j in pairwise(ends)]
         return out
 
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of some words, in any order; of each word its first place there and its number."""
+        latin, plain = (pc.match_substring_regex(words, f"^{x}$").to_numpy(zero_copy_only=False) for x in (_LATIN, _PLAIN))
+        first, second, third = (np.flatnonzero(x) for x in (latin, plain & ~latin, ~plain))
+        text = self.lower(_joined(words, first))
+        if len(second):
+            text += " " * bool(text) + self.normal(_joined(words, second))
+        cuts = self.find(text + " " if text else "")
+        self.pieces.new[" "] = MARK
+        self.pieces.learn(set(cuts))
+        held = b"".join(map(self.pieces.new.__getitem__, cuts))
+        self.pieces.turn()
+        if len(third):
+            made = self.whole(_joined(words, third).split(" "), add_special_tokens=False)
+            held += b"".join([np.array(e.ids, "<u4").tobytes() + MARK for e in made])
+        ids = np.frombuffer(held, "<u4")
+        ends = np.flatnonzero(ids == _MARK)
+        order = np.concatenate([first, second, third])
+        starts, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts[order] = np.concatenate([[0], ends + 1])[:-1]
+        sizes[order] = ends - starts[order]
+        return ids.astype(f"<u{self.width}"), starts, sizes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has; null is empty."""
+        if not len(texts):
+            return np.empty(0, f"<u{self.width}"), np.empty(0, np.int64)
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = lists.flatten().dictionary_encode()
+        ids, starts, sizes = self._words(words.dictionary)
+        codes = words.indices.to_numpy()
+        n = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        places = np.repeat(starts[codes] - ends[:-1], n)
+        places += np.arange(len(places))
+        return ids[places], np.diff(ends[np.cumsum(pc.list_value_length(lists).to_numpy())], prepend=0)
+
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text, as bytes; null is empty."""
-        part, size = [], 0
-        for t in texts:
-            part.append((t or "").replace("\n", " ").split(" "))
-            size += len(t or "")
-            if size >= CUT:
-                yield from self._encoded(part)
-                part, size = [], 0
-        yield from self._encoded(part)
-
-    def _encoded(self, lists: list[list[str]]) -> Iterator[bytes]:
-        self.words.learn(set().union(*lists))
-        of = self.words.new.__getitem__
-        yield from [b"".join(map(of, words)) for words in lists]
-        self.words.turn()
+        ids, sizes = self.encode(pa.array(texts, pa.string()))
+        ends = np.cumsum(sizes)
+        return (ids[i:j].tobytes() for i, j in zip(ends - sizes, ends, strict=True))
+
+
+def _joined(words: pa.Array, places: np.ndarray) -> str:
+    """Words at some places with a blank between them."""
+    taken = words.take(pa.array(places))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(taken)], pa.int32()), taken), " ")[0].as_py()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The rows of the batches, with about `size` bytes in their second column at a time."""
+    held, left = [], size
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = before = 0
+        while lo < len(batch):
+            hi = min(int(np.searchsorted(ends, before + left)) + 1, len(batch))
+            held.append(batch.slice(lo, hi - lo))
+            left -= int(ends[hi - 1]) - before
+            lo, before = hi, int(ends[hi - 1])
+            if left <= 0:
+                yield pa.Table.from_batches(held)
+                held, left = [], size
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -169,12 +218,11 @@ class _Part:
         self.tmp = f"{self.base}/_temporary-{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(f"{self.tmp}.bin")
 
-    def add(self, names: pa.Array, ids: list[bytes]) -> None:
+    def add(self, names: pa.ChunkedArray, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Append documents in their order."""
-        self.out.write(b"".join(ids))
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
-        self.ends.append(self.ends[-1][-1] + np.cumsum(n))
-        self.names.append(names)
+        self.out.write(ids.tobytes())
+        self.ends.append(self.ends[-1][-1] + np.cumsum(sizes))
+        self.names += names.chunks
 
     def close(self) -> tuple[int, int, int]:
         self.out.close()
@@ -194,12 +242,11 @@ def _writer(root: str, path: str, end: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, out = encoder(path), None
-        last = np.array([end], f"<u{encode.width}").tobytes()
-        for batch in batches:
-            if len(batch):
-                out = out or _Part(root, TaskContext.get().partitionId(), encode.width)
-                out.add(batch.column(0), [b + last for b in encode(batch.column(1).to_pylist())])
+        words, out = encoder(path), None
+        for rows in _chunks(batches, CUT):
+            out = out or _Part(root, TaskContext.get().partitionId(), words.width)
+            ids, sizes = words.encode(rows.column(1).combine_chunks())
+            out.add(rows.column(0), np.insert(ids, np.cumsum(sizes), end), sizes + 1)
         if out:
             part, docs, ids = out.close()
             yield pa.RecordBatch.from_arrays(

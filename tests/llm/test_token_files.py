@@ -1,9 +1,11 @@
 """Flat token files against the tokenizers library and the rows themselves."""
 
+import json
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from odd_rows import SF
 from tokenizers import Tokenizer
@@ -95,3 +97,54 @@ def test_words_stand_alone(model):
     texts = ["á é\ńx", "ΟΔΟΣ ΣΑΣ", "it's the end\x85now \x1c tail", "<|endoftext|> <|startoftext|>x", "  ", "İx I"]
     got = [np.frombuffer(b, "<u2").tolist() for b in T.encoder(PATH)(texts)]
     assert got == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pretokens_are_merged_once(model, monkeypatch):
+    """Words that differ by case, marks or text share the work of their pre-tokens."""
+    seen, merged = [], T.WordEncoder._merged
+    monkeypatch.setattr(T.WordEncoder, "_merged", lambda self, pieces: seen.extend(pieces) or merged(self, pieces))
+    texts = ["The the THE the, (the) the's", None, "THE, Été été! the\nÉTÉ...", "the été"]
+    encode = T.WordEncoder(PATH)
+    got = [np.frombuffer(b, "<u2").tolist() for b in [*encode(texts), *encode(texts)]]
+    assert got == [model.encode(t or "", add_special_tokens=False).ids for t in texts] * 2
+    assert sorted(seen) == sorted({"the", ",", "(", ")", "'s", "été", "!", "..."})
+
+
+def test_white_space_and_texts_without_words(model):
+    texts = ["", " ", None, "\t\n\x0b\x0c\r ", "a\tb\nc\x0bd\x0ce\rf  g ", "Жук\tΣΑΣ \x00x", "", "\x1c\x85\xa0\u3000", None]
+    want = [model.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u2").tolist() for b in T.encoder(PATH)(texts)] == want
+    for t, ids in zip(texts, want, strict=True):
+        assert [np.frombuffer(b, "<u2").tolist() for b in T.encoder(PATH)([t])] == [ids]
+    assert list(T.encoder(PATH)([])) == []
+
+
+@pytest.mark.parametrize("without", ["suffix", "lower case"])
+def test_other_tokenizer_files(model, tmp_path, without):
+    """Nothing in the ids tells where a pre-token ends; letters keep their case."""
+    with open(PATH, encoding="utf-8") as f:
+        file = json.load(f)
+    if without == "suffix":
+        file["model"]["end_of_word_suffix"] = None
+    else:
+        steps = file["normalizer"]["normalizers"]
+        file["normalizer"]["normalizers"] = [x for x in steps if x["type"] != "Lowercase"]
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(file, f)
+    texts = ["The words, the été's", "", "words 12 ..."]
+    bare = Tokenizer.from_file(path)
+    want = [bare.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want != [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u2").tolist() for b in T.WordEncoder(path)(texts)] == want
+
+
+@pytest.mark.parametrize("size", [1, 5, 12, 1000])
+def test_chunks_keep_all_rows(size):
+    texts = ["abc", None, "", "defghijklmnopqrstu", "é", None, "xy", "z" * 9, ""]
+    rows = pa.table({"i": range(len(texts)), "t": pa.array(texts, pa.string())})
+    tables = list(T._chunks(iter(rows.to_batches(max_chunksize=4)), size))
+    assert pa.concat_tables(tables).to_pylist() == rows.to_pylist()
+    for t in tables:
+        assert sum(len((x or "").encode()) for x in t.column("t").to_pylist()[:-1]) < size
+    assert list(T._chunks(iter([]), size)) == []
