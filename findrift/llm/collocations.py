@@ -7,7 +7,9 @@ double-array tries of what is left. A trie is a shard of the candidates, by hash
 of the first two words, of bounded size, so it may be broadcast. Workers advance
 the states of all positions of a text block together, one digit of a word's code
 at a time, and count accepting states by `bincount`; the sums over blocks and
-shards are the exact counts that the scores use.
+shards are the exact counts that the scores use. Where there are several tries,
+the positions are dealt to them once, as windows of three codes, so that a trie's
+pass reads its own windows only and all passes together read the corpus once.
 
 Texts become blocks of word codes once. A code is the place of the word's hash
 in the sorted hash arrays of all frequent words, which workers map into memory;
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findrift.llm.kneser_ney import _put
-from findrift.llm.store import batched, dropped, folder, written
+from findrift.llm.store import batched, dropped, folder, parts, written
 from findrift.llm.words import U, mix, text_bytes, word_hashes
 
 MIN_COUNT = 10
@@ -39,6 +40,8 @@ BLOCK = 500_000  # words of a block of codes
 RANGE = 4_000_000  # words of the corpus per range of a sieve
 TRIE = 300_000  # phrases of a trie, about
 LEXICON = 1_000_000  # words of a file of the lexicon, about
+DEALT = 1_000_000  # bytes of a file of windows, about
+HELD = 16_000_000  # bytes of windows that a task holds before it hands them on
 UNKNOWN = "und"
 
 _BREAK = np.zeros(256, bool)
@@ -216,7 +219,7 @@ def _packed(key: np.ndarray, ranges: int, support: int) -> Iterator[pa.RecordBat
         )
 
 
-def _enough(support: int) -> Callable[[pa.Table], pa.Table]:
+def _enough(support: int, *by: str) -> Callable[[pa.Table], pa.Table]:
     """Keys of one range that reach the support."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -226,13 +229,16 @@ def _enough(support: int) -> Callable[[pa.Table], pa.Table]:
         key, n = key[order], n[order].astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         key = key[at][np.add.reduceat(n, at) >= min(support, 255)]
-        return pa.table({"high": pa.array((key >> U(32)).astype(np.int64)), "low": pa.array((key & U(0xFFFFFFFF)).astype(np.int64))})
+        out = {"high": pa.array((key >> U(32)).astype(np.int64)), "low": pa.array((key & U(0xFFFFFFFF)).astype(np.int64))}
+        return pa.table(out | {c: pa.array(np.full(len(key), rows.column(c)[0].as_py(), np.int32)) for c in by})
 
     return run
 
 
-def _sieved(keys: DataFrame, support: int) -> DataFrame:
-    return keys.groupBy("range").applyInArrow(_enough(support), "high bigint, low bigint")
+def _sieved(keys: DataFrame, support: int, *by: str) -> DataFrame:
+    """Keys (high, low) that reach the support, within each value of the columns `by`."""
+    schema = ", ".join(["high bigint", "low bigint", *(f"{c} int" for c in by)])
+    return keys.groupBy(*by, "range").applyInArrow(_enough(support, *by), schema)
 
 
 def _joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -313,9 +319,11 @@ def build_trie(phrases: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray
     return base[:size].astype(np.int32), check[:size].astype(np.int32), state
 
 
-def advance(c: np.ndarray, base: np.ndarray, check: np.ndarray, digits: int, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For 1, 2, ... words from every position: the positions still on a path, and their states."""
-    at = np.flatnonzero(c[: len(c) - LONGEST] >= 0)
+def advance(
+    c: np.ndarray, base: np.ndarray, check: np.ndarray, digits: int, words: int, at: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1, 2, ... words from every position, or those in `at`: the positions still on a path, and their states."""
+    at = np.flatnonzero(c[: len(c) - LONGEST] >= 0) if at is None else at
     state = np.zeros(len(at), np.int32)
     for w in range(words):
         code = c[at + w]
@@ -347,27 +355,90 @@ def _builder(digits: int) -> Callable[[pa.Table], pa.Table]:
 TRIES = "shard int, state bigint, c1 bigint, c2 bigint, c3 bigint, base binary, check binary"
 
 
+def _shard(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
+    """The trie that holds the phrases which begin with two codes."""
+    return _range(mix(_joined(first, second)), shards).astype(np.int32)
+
+
+def _sharded(shards: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = (batch.column(j).to_numpy() for j in (0, 1))
+            yield batch.append_column("shard", pa.array(_shard(first, second, shards)))
+
+    return run
+
+
 def _tries(phrases: DataFrame, digits: int, trie_phrases: int) -> tuple[DataFrame, int]:
     """Tries of the stored phrases (c1, c2, c3), and how many; a trie holds about `trie_phrases`."""
     shards = max(1, -(-phrases.count() // trie_phrases))
-    split = F.pmod(F.xxhash64("c1", "c2"), F.lit(shards)).cast("int")
-    built = phrases.withColumn("shard", split).groupBy("shard").applyInArrow(_builder(digits), TRIES)
+    split = phrases.select("c1", "c2", "c3").mapInArrow(_sharded(shards), "c1 bigint, c2 bigint, c3 bigint, shard int")
+    built = split.groupBy("shard").applyInArrow(_builder(digits), TRIES)
     return written(built, "tries"), shards
 
 
-def _over_tries(blocks: DataFrame, tries: DataFrame, shards: int, use: Callable, schema: str) -> list[tuple[int, DataFrame]]:
-    """`use(shard, trie)` over all blocks, one written table per trie; one trie is broadcast at a time."""
-    context = blocks.sparkSession.sparkContext
-    out = []
+def _windows(shards: int) -> Callable:
+    """(shard, codes): from every position with two frequent words its three codes, by the trie of the first two."""
+
+    def handed(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for shard, pieces in enumerate(held):
+            for lo in range(0, len(pieces), 64):
+                codes = np.concatenate(pieces[lo : lo + 64])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([codes.tobytes()], pa.binary())], names=["shard", "codes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [[] for _ in range(shards)], 0
+        for c in _codes_of(batches):
+            at = np.flatnonzero((c[:-2] >= 0) & (c[1:-1] >= 0))
+            shard = _shard(c[at], c[at + 1], shards)
+            order = np.argsort(shard, kind="stable")
+            at, ends = at[order], np.searchsorted(shard[order], np.arange(shards + 1))
+            codes = np.stack([c[at], c[at + 1], c[at + 2]], axis=1).ravel()
+            for s in np.flatnonzero(np.diff(ends)).tolist():
+                held[s].append(codes[3 * ends[s] : 3 * ends[s + 1]].copy())
+            size += codes.nbytes
+            if size >= HELD:
+                yield from handed(held)
+                held, size = [[] for _ in range(shards)], 0
+        yield from handed(held)
+
+    return run
+
+
+def _dealt(blocks: DataFrame, shards: int, total: int) -> DataFrame:
+    """The windows of all blocks, a folder per trie; no file is much smaller than DEALT, whatever the number of tries."""
+    root = folder(blocks.sparkSession, "windows")
+    files = max(parts(blocks.sparkSession), 12 * total // (shards * DEALT))
+    dealt = blocks.coalesce(files).mapInArrow(_windows(shards), "shard int, codes binary")
+    dealt.write.partitionBy("shard").parquet(root)
+    return blocks.sparkSession.read.schema("codes binary, shard int").parquet(root)
+
+
+def _over_tries(
+    blocks: DataFrame, tries: DataFrame, shards: int, total: int, use: Callable, schema: str
+) -> DataFrame | None:
+    """`use(shard, trie)` over the windows of every trie, or the blocks if it is the only one; one is broadcast at a time."""
+    spark = blocks.sparkSession
+    dealt = _dealt(blocks, shards, total) if shards > 1 else None
+    done = []
     for shard in range(shards):
         row = tries.where((F.col("shard") == shard) & F.col("base").isNotNull()).select("base", "check").first()
         if row is None:
             continue
-        sent = context.broadcast((row.base, row.check))  # bounded by the phrases of a trie
+        sent = spark.sparkContext.broadcast((row.base, row.check))  # bounded by the phrases of a trie
         del row
-        out.append((shard, written(blocks.mapInArrow(use(shard, sent), schema), "trie-pass")))
+        own = blocks if dealt is None else dealt.where(F.col("shard") == shard).select("codes")
+        done.append(folder(spark, "trie-pass"))
+        own.mapInArrow(use(shard, sent), schema).write.parquet(done[-1])
         sent.destroy()  # the driver's copies too: what was written needs no trie again
-    return out
+    if dealt is not None:
+        dropped(dealt, 2)
+    return spark.read.schema(schema).parquet(*done) if done else None
+
+
+def _starts(c: np.ndarray, shards: int) -> np.ndarray | None:
+    """Where windows begin; None for blocks, whose every position may."""
+    return np.arange(0, len(c) - LONGEST, 3) if shards > 1 else None
 
 
 def _arrays(sent) -> tuple[np.ndarray, np.ndarray]:
@@ -385,7 +456,7 @@ def _triple_keys(ranges: int, support: int, digits: int, shards: int) -> Callabl
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base, check = _arrays(sent)
             for c in _codes_of(batches):
-                for at, state in advance(c, base, check, digits, 2):
+                for at, state in advance(c, base, check, digits, 2, _starts(c, shards)):
                     pass
                 if shards == 1:
                     seen = np.zeros(len(c), bool)
@@ -401,7 +472,7 @@ def _triple_keys(ranges: int, support: int, digits: int, shards: int) -> Callabl
     return use
 
 
-def _state_counts(digits: int) -> Callable:
+def _state_counts(digits: int, shards: int) -> Callable:
     """Occurrences of every accepting state of a trie in a task's blocks."""
 
     def use(shard: int, sent) -> Callable:
@@ -409,7 +480,7 @@ def _state_counts(digits: int) -> Callable:
             base, check = _arrays(sent)
             total = np.zeros(len(base), np.int64)
             for c in _codes_of(batches):
-                for words, (_, state) in enumerate(advance(c, base, check, digits, LONGEST), 1):
+                for words, (_, state) in enumerate(advance(c, base, check, digits, LONGEST, _starts(c, shards)), 1):
                     if words > 1:
                         total += np.bincount(state, minlength=len(total))
             state = np.flatnonzero(total)
@@ -494,17 +565,21 @@ def counts(
     )
     tries, shards = _tries(pairs, digits, trie_phrases)
     phrases = pairs
-    passes = _over_tries(blocks, tries, shards, _triple_keys(ranges, support, digits, shards), f"{sieve}, shard int")
-    for shard, keys in passes:
-        own = tries.where((F.col("shard") == shard) & F.col("base").isNull()).select("state", "c1", "c2")
-        found = _sieved(keys.drop("shard"), support).select(F.col("high").alias("state"), F.col("low").alias("c3"))
-        phrases = phrases.unionByName(found.join(own, "state").select("c1", "c2", "c3"))
+    # a trie's keys are a share of all
+    some = max(1, -(-2 * ranges // shards))
+    keys = _over_tries(blocks, tries, shards, total, _triple_keys(some, support, digits, shards), f"{sieve}, shard int")
+    if keys is not None:
+        own = tries.where(F.col("base").isNull()).select("shard", "state", "c1", "c2")
+        found = _sieved(keys, support, "shard").select("shard", F.col("high").alias("state"), F.col("low").alias("c3"))
+        phrases = phrases.unionByName(found.join(own, ["shard", "state"]).select("c1", "c2", "c3"))
     phrases = written(phrases, "phrases")
+    if keys is not None:
+        dropped(keys)
     both, shards = _tries(phrases, digits, trie_phrases)
-    seen = _over_tries(blocks, both, shards, _state_counts(digits), "shard int, state bigint, n bigint")
-    if not seen:
+    seen = _over_tries(blocks, both, shards, total, _state_counts(digits, shards), "shard int, state bigint, n bigint")
+    if seen is None:
         return totals, lexicon, phrases.withColumn("f", F.lit(0).cast("bigint"))
-    summed = reduce(DataFrame.unionAll, [counted for _, counted in seen]).groupBy("shard", "state").agg(F.sum("n").alias("f"))
+    summed = seen.groupBy("shard", "state").agg(F.sum("n").alias("f"))
     named = both.where(F.col("base").isNull()).select("shard", "state", "c1", "c2", "c3")
     counted = written(named.join(summed, ["shard", "state"]).select("c1", "c2", "c3", "f"), "phrase-counts")
     dropped(blocks)

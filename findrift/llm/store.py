@@ -38,10 +38,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Remove the files of a table made by `written` that no later plan reads."""
+def dropped(df: DataFrame, levels: int = 1) -> None:
+    """Remove the files of a written table that no later plan reads; `levels` is 2 if its files lie in folders by a column."""
     spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for name in {f.rsplit("/", levels)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

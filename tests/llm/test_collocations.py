@@ -73,6 +73,29 @@ def test_odd_rows_and_empty(spark, odd, none):
     assert C.mine(none.selectExpr("'en' as lang", "text")).count() == 0
 
 
+def test_a_trie_reads_its_own_windows(spark, monkeypatch):
+    """However many tries there are, their passes together read each pair of frequent words once."""
+    context, read = spark.sparkContext, []
+    real = C._starts
+
+    def counted(c, shards):
+        at = real(c, shards)
+        read.add(len(at) if at is not None else int((c[:-3] >= 0).sum()))
+        return at
+
+    rows = texts(3)
+    pairs = 0
+    for _, text in rows:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\n-\r]", low):
+            pairs += max(0, len([x for x in re.split(r"[ \t]+", piece) if x]) - 1)
+    monkeypatch.setattr(C, "_starts", counted)
+    for few in (40, 10):
+        read = context.accumulator(0)
+        assert mined(spark, rows, trie_phrases=few) == brute(rows)
+        assert 0 < read.value <= 2 * pairs  # one pass for triples, one for counts
+
+
 def test_scores_past_64_bits(spark):
     a, left, right = 9_000_000_000_001, 9_500_000_000_003, 9_999_999_999_999
     df = spark.createDataFrame([(a, left, right)], "a bigint, l bigint, r bigint")
