@@ -67,3 +67,19 @@ def test_similar_words_are_found_without_moving_the_vocabulary(spark, index, ask
         assert plan.count("BroadcastHashJoin") >= 2
     finally:
         spark.conf.set(THRESHOLD, "10485760b")
+
+
+def test_pages_beyond_the_matches_are_counted_not_ranked(spark, index):
+    """A page far beyond the matches needs no rank; all pages up to it do."""
+    import datetime as dt
+
+    from findrift.plans import search as SE
+    from test_search import requests
+
+    rows = [(0, "train", None, None, None, 1, 2), (1, "quiet", None, None, None, 10**8, 50), (2, "", None, None, None, 3, 2), (3, "", None, None, None, 10**8, 50)]
+    job = SE.search(index, requests(spark, rows), dt.date(2001, 12, 31))
+    assert "_band" not in job.ranked(cumulative=False)._jdf.queryExecution().toString()
+    count = lambda df: {r.query_id: r["count"] for r in df.groupBy("query_id").count().collect()}
+    assert count(job.hits()) == {0: 2, 2: 2}
+    totals = {r.query_id: r.total for r in job.totals().collect()}
+    assert count(job.hits(cumulative=True)) == {0: 2, 1: totals[1], 2: 6, 3: totals[3]}
