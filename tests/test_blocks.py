@@ -76,7 +76,7 @@ def test_pages_beyond_the_matches_are_counted_not_ranked(spark, index):
     from findrift.plans import search as SE
     from test_search import requests
 
-    rows = [(0, "train", None, None, None, 1, 2), (1, "quiet", None, None, None, 10**8, 50), (2, "", None, None, None, 3, 2), (3, "", None, None, None, 10**8, 50)]
+    rows = [(0, "train", None, None, None, 1, 2), (1, "quiet", None, None, None, 10**8, 50), (2, "", None, None, None, 3, 2), (3, "", ["Drama"], None, None, 10**8, 50)]
     job = SE.search(index, requests(spark, rows), dt.date(2001, 12, 31))
     assert "_band" not in job.ranked(cumulative=False)._jdf.queryExecution().toString()
     count = lambda df: {r.query_id: r["count"] for r in df.groupBy("query_id").count().collect()}
